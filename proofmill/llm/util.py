@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,8 @@ class Scratch:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.at}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files once nothing refers to them
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
