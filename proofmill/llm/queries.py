@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op6_language
 from .lines import op9_line_dedup
+from .near import op3_near_dedup
 from .packing import op1_packing
+from .quality import op2_quality
 from .simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
+    "op3_near_dedup": op3_near_dedup,
+    "op6_language": op6_language,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
