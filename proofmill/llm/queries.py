@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op4_decontaminate
 from .language import op6_language
 from .lines import op9_line_dedup
 from .near import op3_near_dedup
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_near_dedup": op3_near_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op6_language": op6_language,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
