@@ -11,6 +11,7 @@ from .language import op6_language
 from .lines import op9_line_dedup
 from .near import op3_near_dedup
 from .packing import op1_packing
+from .passages import op5_passages
 from .quality import op2_quality
 from .simhash import op10_simhash
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_passages": op5_passages,
     "op6_language": op6_language,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
