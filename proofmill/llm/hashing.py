@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _random = np.random.default_rng(20240229)
@@ -54,6 +56,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     return hashes, first, end, np.searchsorted(first, offsets)
 
 
+def stems(raw: np.ndarray, first: np.ndarray, end: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size: which words are longer, and hashes of their first bytes (lower-cased; never equal to a word's hash)."""
+    for size in sizes:
+        which = np.flatnonzero(end - first > size)
+        code = _CODE[_LOWER[raw[first[which][:, None] + np.arange(size)]]]
+        yield which, mix((code * powers(size)[:size]).sum(1, dtype=np.uint64) + np.uint64(1000 + size))
+
+
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k words of one text; for the whole text where it has fewer words; none for no words."""
     n = len(hashes)

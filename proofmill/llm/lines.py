@@ -2,22 +2,22 @@
 
 Tokens of a line are ordered by rarity. Two lines of n and m tokens are alike if 100 * shared >= percent * union, so they share at
 least a = ceil(percent * (n + m) / (100 + percent)) tokens, and their first common token lies so early in both that
-enough tokens can follow (prefix and positional filters), in lines whose sizes are near (length filter, as size bands
-in the join key). Rarity comes from a count sketch of fixed size: any one order gives exact results, so the sketch only
+enough tokens can follow (prefix and positional filters), in lines whose sizes are near (length filter). Rarity comes from a count sketch of fixed size: any one order gives exact results, so the sketch only
 decides how few candidates there are. Parity bitmaps bound the symmetric difference from below and drop nearly
 all other candidates in the join itself. The rest are verified on their words.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, ascii_lower, clean_names, table, words
+from .util import Scratch, clean_names, table
 
 SKETCH = 1 << 17
+TURNS = 2
 PERCENT = 80
 
 
@@ -26,20 +26,22 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.floor(((n + m) * percent + (99 + percent)) / (100 + percent)).cast("int")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text), line_no (from 0) and line, for each line with a word."""
-    base = clean_names(docs, ["doc_id", "text"]).where(F.col("text").isNotNull())
-    split = base.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+def _plain(text: Column) -> Column:
+    """Lower case, with spaces as the only blanks within lines."""
+    low = F.lower(text)
+    other = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c")
+    return F.when(other, F.regexp_replace(low, "[\\x09\\x0B-\\x0D]", " ")).otherwise(low)
 
 
-def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(words(ascii_lower(line)), lambda w: F.xxhash64(w)))
+def _words(line: Column) -> Column:
+    """Hashes of the distinct words of a plain line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _sketch(found: DataFrame) -> DataFrame:
-    """One row: for each of SKETCH hash values, how many tokens of lines fall on it. Its size is fixed."""
-    counts = found.select(F.explode(_hashes(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(SKETCH - 1)).alias("at")).agg(F.count("*").alias("n"))
+def _sketch(docs: DataFrame) -> DataFrame:
+    """One row: for each of SKETCH hash values, how many words of the texts fall on it. Its size is fixed."""
+    found = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = found.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("at")).agg(F.count("*").alias("n"))
     entry = F.struct(F.col("at").bitwiseAND(F.lit(1023)).cast("int").alias("k"), F.least("n", F.lit((1 << 20) - 1)).cast("int").alias("n"))
     parts = counts.groupBy(F.shiftright("at", 10).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     full = parts.select("part", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("ns"))
@@ -48,11 +50,13 @@ def _sketch(found: DataFrame) -> DataFrame:
 
 
 def _parity(tokens: Column, half: int) -> Column:
-    """64 bits by a token's hash, each set where an odd number of this half's tokens fall on it."""
+    """64 bits by a token's hash, each set where an odd number of tokens fall on it: of all tokens, or of each half beyond 64 tokens."""
+
     def flip(acc: Column, t: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(t.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseXOR(bit)).otherwise(acc)
-    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
+
+    own = F.when(F.size(tokens) > 64, F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64)) == 64 * half)).otherwise(tokens)
+    return F.aggregate(own, F.lit(0).cast("long"), flip)
 
 
 def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -62,61 +66,61 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None
     """
     spark, c = docs.sparkSession, F.col
     scratch = scratch or Scratch(spark)
-    found = lines(docs)
-    sketch = scratch.stage(_sketch(found), "sketch").scalar()
+    texts = clean_names(docs, ["doc_id", "text"]).where(c("text").isNotNull())
+    sketch = scratch.stage(_sketch(texts), "sketch").scalar()
 
     # a token: its count above 43 bits of its hash; the 17 bits that chose the count are not among them
     token = lambda h: F.shiftleft(F.element_at("counts", (h.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))
-    each = found.select("doc_id", "mark", "line_no", "line", sketch.alias("counts"))  # used once, so that Spark puts the one value into the next step
-    each = each.select("doc_id", "mark", "line_no", F.sort_array(F.transform(_hashes(c("line")), token)).alias("ts")).withColumn("n", F.size("ts"))
+    each = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split(_plain(c("text")), "\n")).alias("line_no", "line"))
+    each = each.select("doc_id", "mark", "line_no", "line", sketch.alias("counts"))  # used once, so that Spark puts the one value into the next step
+    each = each.select("doc_id", "mark", "line_no", F.sort_array(F.transform(_words(c("line")), token)).alias("ts")).withColumn("n", F.size("ts")).where("n > 0")
     low = F.ceil(c("n") * percent / 100).cast("int")
     longest = c("n") - _needed(c("n"), low, percent) + 1
     at = F.struct(c("doc_id").isNull().alias("no_id"), "doc_id", "mark", "line_no").alias("at")
-    each = each.select(F.xxhash64("ts").alias("k0"), F.xxhash64("ts", F.lit(7)).alias("k1"), "n", at, F.slice("ts", F.lit(1), longest).alias("prefix"), _parity(c("ts"), 0).alias("b0"), _parity(c("ts"), 1).alias("b1"))
+    each = each.select(F.xxhash64("ts").alias("k0"), F.element_at("ts", 1).alias("k1"), "n", at, F.slice("ts", F.lit(1), longest).alias("prefix"), _parity(c("ts"), 0).alias("b0"), F.when(c("n") > 64, _parity(c("ts"), 1)).otherwise(F.lit(0).cast("long")).alias("b1"))
     each = scratch.stage(each, "each")
     sets = each.groupBy("k0", "k1", "n").agg(F.min(F.struct("at", "prefix", "b0", "b1")).alias("f"), F.count("*").alias("copies"))
-    long = c("n") > 64  # shorter lines need 64 bits only: both halves in one
-    sets = sets.select(F.monotonically_increasing_id().alias("id"), "k0", "k1", "n", "copies", "f.at", "f.prefix", F.when(long, c("f.b0")).otherwise(c("f.b0").bitwiseXOR(c("f.b1"))).alias("b0"), F.when(long, c("f.b1")).otherwise(F.lit(0).cast("long")).alias("b1"))
-    sets = scratch.stage(sets, "sets")
+    sets = scratch.stage(sets.select(F.monotonically_increasing_id().alias("id"), "k0", "k1", "n", "copies", "f.at", "f.prefix", "f.b0", "f.b1"), "sets")
 
-    # a band holds sizes within one factor of 100 / percent; the larger line of a pair looks in its own band and those below that it can reach
-    band = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    least = lambda b: F.least(c("n"), F.greatest(low, F.floor(F.pow(F.lit(100 / percent), b)).cast("int")))
+    # every line whose words an earlier line has as a set
+    again = sets.where("copies > 1").select("k0", "k1", c("at").alias("first"))
+    copies = scratch.stage(each.select("k0", "k1", "at").join(again, ["k0", "k1"]).where(c("at") > c("first")).select("at"), "copies")
+    scratch.drop("each")
 
-    def keys(size: Column, b: Column) -> Column:
-        return F.transform(F.slice("prefix", F.lit(1), F.greatest(F.lit(0), size)), lambda t, i: F.struct(F.xxhash64(t, b).alias("key"), i.cast("short").alias("i")))
+    def keys(size: Column, turn: int) -> Column:
+        each_ = F.transform(F.slice("prefix", F.lit(1), size), lambda t, i: F.struct(t.alias("key"), i.cast("short").alias("i")))
+        return F.filter(each_, lambda k: k["key"].bitwiseAND(F.lit(TURNS - 1)) == turn)
 
-    own = keys(c("n") - _needed(c("n"), c("n"), percent) + 1, band(c("n")))
-    wide = F.flatten(F.transform(F.sequence(band(low), band(c("n"))), lambda b: keys(c("n") - _needed(c("n"), least(b), percent) + 1, b)))
-    index = sets.select("id", "n", "b0", "b1", F.inline(own).alias("key", "i"))
-    probe = sets.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), F.inline(wide).alias("key", "pi"))
     need = _needed(c("n"), c("pn"), percent)
     x0, x1 = c("b0").bitwiseXOR(c("p0")), c("b1").bitwiseXOR(c("p1"))
-    apart = F.when((c("n") > 64) & (c("pn") > 64), F.bit_count(x0) + F.bit_count(x1)).otherwise(F.bit_count(x0.bitwiseXOR(x1)))
+    # beyond 64 tokens, b0 and b1 hold one half of them each; up to there, b0 holds all
+    apart = F.when((c("n") > 64) == (c("pn") > 64), F.bit_count(x0) + F.bit_count(x1)).otherwise(F.bit_count(x0.bitwiseXOR(c("b1")).bitwiseXOR(c("p1"))))
     near = ((c("n") < c("pn")) | ((c("n") == c("pn")) & (c("id") < c("pid")))) & (c("n") * 100 >= c("pn") * percent)
     near = near & (F.least(c("pn") - c("pi"), c("n") - c("i")) >= need) & (apart <= c("n") + c("pn") - need * 2)
-    pairs = scratch.stage(probe.join(index, "key").where(near).select("id", "pid").distinct(), "pairs")
+    turns = []
+    for turn in range(TURNS):  # a part of the tokens at a time, so that a turn's shuffle files go before the next
+        index = sets.select("id", "n", "b0", "b1", F.inline(keys(c("n") - _needed(c("n"), c("n"), percent) + 1, turn)).alias("key", "i"))
+        probe = sets.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), F.inline(keys(longest, turn)).alias("key", "pi"))
+        turns.append(scratch.stage(probe.join(index, "key").where(near).select("id", "pid").distinct(), f"pairs{turn}"))
+    pairs = scratch.stage(reduce(DataFrame.union, turns).distinct(), "pairs")
 
     # the words of candidates come from the documents again: only their places were kept
     wanted = pairs.select("id").union(pairs.select(c("pid").alias("id"))).distinct()
     wanted = sets.select("id", "at").join(wanted, "id").select(c("at.doc_id").alias("wanted_doc"), c("at.mark").alias("wanted_mark"), F.struct("id", c("at.line_no").alias("line_no")).alias("w"))
     wanted = wanted.groupBy("wanted_doc", "wanted_mark").agg(F.collect_list("w").alias("wanted"))
-    source = clean_names(docs, ["doc_id", "text"]).where(c("text").isNotNull()).withColumn("mark", F.xxhash64("text"))
-    split = source.join(wanted, c("doc_id").eqNullSafe(c("wanted_doc")) & (c("mark") == c("wanted_mark"))).select(F.split("text", "\n").alias("ls"), "wanted")
+    source = texts.withColumn("mark", F.xxhash64("text"))
+    split = source.join(wanted, c("doc_id").eqNullSafe(c("wanted_doc")) & (c("mark") == c("wanted_mark"))).select(F.split(_plain(c("text")), "\n").alias("ls"), "wanted")
     split = split.select(F.inline(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.element_at("ls", w["line_no"] + 1).alias("line")))))
-    held = split.select("id", F.array_distinct(words(ascii_lower(c("line")))).alias("ws")).groupBy("id").agg(F.any_value("ws").alias("ws"))
+    held = split.select("id", F.array_remove(F.array_distinct(F.split("line", " ")), "").alias("ws")).groupBy("id").agg(F.any_value("ws").alias("ws"))
     held = scratch.stage(sets.select("id", "at").join(held, "id"), "words")
     other = held.withColumnsRenamed({"id": "pid", "ws": "pws", "at": "pat"})
     alike = F.size(F.array_intersect("ws", "pws")) * (100 + percent) >= (F.size("ws") + F.size("pws")) * percent
     unlike_first = pairs.join(held, "id").join(other, "pid").where(alike).select(F.greatest("at", "pat").alias("at")).distinct()
 
-    # and every line whose tokens an earlier line has as a set
-    again = sets.where("copies > 1").select("k0", "k1", c("at").alias("first"))
-    copies = each.select("k0", "k1", "at").join(again, ["k0", "k1"]).where(c("at") > c("first")).select("at")
     gone = copies.union(unlike_first).select("at.doc_id", "at.mark", "at.line_no")
     gone = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("later"))
     gone = scratch.stage(gone, "later")
-    scratch.drop("each", "sets", "pairs", "words", "sketch")
+    scratch.drop("sets", "pairs", "words", "copies", *[f"pairs{t}" for t in range(TURNS)])
     return gone
 
 
