@@ -143,7 +143,7 @@ def pack(docs: DataFrame, size: int = 1024, vocabulary: str | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     number = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = salted.withColumn("number", number).join(F.broadcast(each.select("length", "salt", "before")), ["length", "salt"])
+    ranked = salted.withColumn("number", number).join(each.select("length", "salt", "before"), ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("number") + F.col("before")).cast("long").alias("rank"))
     return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
 

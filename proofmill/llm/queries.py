@@ -14,6 +14,7 @@ from .packing import op1_packing
 from .passages import op5_passages
 from .quality import op2_quality
 from .simhash import op10_simhash
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_passages": op5_passages,
     "op6_language": op6_language,
+    "op7_toxicity": op7_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
