@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op4_decontaminate
+from .fixity import OP8_SQL, op8_fixity
 from .language import op6_language
 from .lines import op9_line_dedup
 from .near import op3_near_dedup
@@ -24,8 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_passages": op5_passages,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
+    "op8_fixity": op8_fixity,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_fixity": OP8_SQL}
