@@ -434,6 +434,7 @@ def with_generated(df: DataFrame, columns: list[tuple[str, str, str]], known: li
 def _from_outcome(said: Column, wanted: str) -> Compiled:
     kind, num = said["kind"], said["num"]
     result, kinds = {
-        "TEXT": (said["txt"], ("string",)), "BOOL": (said["flag"], ("boolean",)), "INT": (num.cast("bigint"), ("integer",)), "FLOAT": (num, ("integer", "number")),
+        "TEXT": (said["txt"], ("string",)), "BOOL": (said["flag"], ("boolean",)), "INT": (num.cast("bigint"), ("integer",)),
+        "FLOAT": (F.coalesce(num, F.lit(math.nan)), ("integer", "number")),  # a batch of pandas knows no NaN beside null
     }[wanted]
     return Compiled(F.when(kind.isin(*kinds), result), ~kind.isin(*kinds), said, False)
