@@ -2,8 +2,7 @@
 
 Documents with equal shingle sets are one class. Classes that share a band are candidates. To avoid all pairs of a
 band's group, its least and its greatest class are first compared with all others; where that leaves more than one
-component in a group, blocks of the group are compared across its components within tasks, and only pairs that pass
-the pruning leave them.
+component in a group, blocks of the group are compared across its components within tasks, and only links leave them.
 """
 
 from __future__ import annotations
@@ -21,7 +20,10 @@ from .hashing import mix, runs, word_hashes
 from .util import Scratch, clean_names, table, text_bytes, text_slices
 
 HASHES, BATCH = 125, 25
-BLOCK = 512  # classes in a block of a group
+#: Signatures of members that meet outside their components are compared on more hashes: many such pairs lie just below the threshold.
+MORE_HASHES, MORE_BATCH = 512, 64
+#: Classes, and bytes of text, in a block of a group.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 
 def bands(percent: int, miss: float = 1e-4) -> tuple[int, int]:
@@ -34,14 +36,14 @@ def bands(percent: int, miss: float = 1e-4) -> tuple[int, int]:
     return best, HASHES // best
 
 
-def least_matches(percent: int, miss: float = 1e-6) -> list[int]:
+def least_matches(percent: int, miss: float = 1e-6, hashes: int = HASHES, batch: int = BATCH) -> list[int]:
     """After each batch of hashes: the fewest matches at which a similarity at the threshold is still likelier than `miss`.
 
     From a uniform prior, the similarity after m matches of n is Beta(m + 1, n - m + 1); it is at least t with the
     chance that a binomial of n + 1 trials at t is at most m.
     """
     t, out = percent / 100, []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(batch, hashes + 1, batch):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -50,11 +52,11 @@ def least_matches(percent: int, miss: float = 1e-6) -> list[int]:
     return out
 
 
-def likely(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
+def likely(a: np.ndarray, b: np.ndarray, least: list[int], batch: int = BATCH) -> np.ndarray:
     """Which pairs of rows of two signature arrays pass all batches."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
     for k, m in enumerate(least):
-        part = slice(k * BATCH, (k + 1) * BATCH)
+        part = slice(k * batch, (k + 1) * batch)
         matches = matches + (a[alive, part] == b[alive, part]).sum(1)
         ok = matches >= m
         alive, matches = alive[ok], matches[ok]
@@ -71,15 +73,19 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield np.unique(runs(hashes[low:high], k))
 
 
-_draw = np.random.default_rng(7)
-_A = _draw.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
-_B = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(seed)
+    return draw.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), draw.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+_FIRST, _MORE = _functions(7, HASHES), _functions(19, MORE_HASHES)
+
+
+def signature(s: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _FIRST) -> np.ndarray:
+    a, b = functions
+    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for low in range(0, len(s), 4096):
-        np.minimum(out, (_A[:, None] * s[None, low : low + 4096] + _B[:, None]).min(1), out=out)
+        np.minimum(out, (a[:, None] * s[None, low : low + 4096] + b[:, None]).min(1), out=out)
     return out >> np.uint64(24)
 
 
@@ -134,56 +140,92 @@ def prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """id and text of the classes with these ids."""
+    wanted = classes.join(ids.distinct(), "id").select("id", "mark")
+    base = clean_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    return scratch.stage(base.join(wanted, ["id", "mark"]).groupBy("id").agg(F.any_value("text").alias("text")), f"{name}_texts")
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of hashes reach the threshold."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    wanted = classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "id").select("id", "mark")
-    base = clean_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text")
-    texts = scratch.stage(base.join(wanted, ["id", "mark"]).groupBy("id").agg(F.any_value("text").alias("text")), f"{name}_texts")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, docs, scratch, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in text_slices(text_slices(iter([big]), "ta"), "tb"):
-                good = []
                 left = batch.select(["ta"]).rename_columns(["text"])
                 right = batch.select(["tb"]).rename_columns(["text"])
-                for row, (x, y) in enumerate(zip(shingle_sets(left, k), shingle_sets(right, k), strict=True)):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        good.append(row)
+                good = [row for row, (x, y) in enumerate(zip(shingle_sets(left, k), shingle_sets(right, k), strict=True)) if alike(x, y, percent)]
                 yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return scratch.stage(both.mapInArrow(run, "a long, b long"), f"{name}_links")
 
 
-def _across(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) across components, within groups(key, id, component).
+def _across(groups: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) across components, within groups(key, id, component).
 
     The members outside a group's largest component meet all members: blocks of either side, each pair of blocks in
-    a task's hands at a time.
+    a task's hands at a time, with their texts. A pair is compared in the first band that it shares; what passes the signatures is confirmed on full sets there and then,
+    so that only links leave a task, however many pairs come near the threshold.
     """
-    least = least_matches(percent)
-    sizes = groups.groupBy("key", "component").agg(F.count("*").alias("m"))
-    sizes = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most")).where("all > most")
-    side = groups.join(sizes, "key").select("key", "id", "component", (F.col("component") != F.col("main")).alias("other"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("all") / BLOCK).cast("int").alias("alls"))
-    mine = F.pmod(F.xxhash64("id"), F.col("alls")).cast("int")
-    right = side.select("key", "id", "component", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), mine.alias("j"))
-    left = side.where("other").select("key", "id", "component", F.lit(True).alias("left"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("others")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
-    rows = left.union(right).join(classes.select("id", "n", "sig"), "id")
+    least, more = least_matches(percent), least_matches(percent, 1e-6, MORE_HASHES, MORE_BATCH)
+    parts = groups.groupBy("key", "component").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("key").agg(F.sum("m").alias("all"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most")).where("all > most")
+    members = scratch.stage(groups.join(parts.select("key", "main"), "key").withColumn("other", F.col("component") != F.col("main")), "members")
+    texts = texts_of(members.select("id"), classes, docs, scratch, "members")
+    known = texts.join(classes.select("id", "n", "sig", "bands"), "id")
+    weight = F.octet_length("text")
+    sized = members.join(texts.select("id", weight.alias("w")), "id")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_BYTES)).cast("int")
+    mine = F.when(F.col("other"), 1).otherwise(0)
+    sizes = sized.groupBy("key").agg(blocks(F.sum(mine), F.sum(mine * F.col("w"))).alias("others"), blocks(F.count("*"), F.sum("w")).alias("alls"))
+    side = members.join(sizes, "key").select("key", "id", "component", "other", "others", "alls")
+    right = side.select("key", "id", "component", "other", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("alls")).cast("int").alias("j"))
+    left = side.where("other").select("key", "id", "component", "other", F.lit(True).alias("left"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("others")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
+    rows = left.union(right).join(known, "id")
 
     def compare(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(group)
-        is_left, ids, comp, n = (t.column(c).to_numpy() for c in ("left", "id", "component", "n"))
+        t = pa.Table.from_batches(group).combine_chunks()
+        is_left, other = (t.column(c).to_numpy() for c in ("left", "other"))
+        key, ids, comp, n = (t.column(c).to_numpy() for c in ("key", "id", "component", "n"))
         sig = _signatures(t.column("sig"))
+        bands_ = np.stack(t.column("bands").to_numpy(zero_copy_only=False))
+        text = t.column("text")
+        sets: dict[int, np.ndarray] = {}
+        far: dict[int, np.ndarray] = {}
+
+        def ready(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = next(shingle_sets(pa.RecordBatch.from_arrays([pa.array([text[row].as_py()], pa.string())], names=["text"]), k))
+                far[row] = signature(sets[row], _MORE).astype("<u2")
+            return far[row]
+
         l, r = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         out_a, out_b = [], []
         for x in l.tolist():
-            ok = r[(comp[r] != comp[x]) & (np.minimum(n[r], n[x]) * 100 >= np.maximum(n[r], n[x]) * percent)]
+            ok = r[(comp[r] != comp[x]) & (np.minimum(n[r], n[x]) * 100 >= np.maximum(n[r], n[x]) * percent) & (~other[r] | (ids[x] < ids[r]))]
             ok = ok[likely(np.broadcast_to(sig[x], (len(ok), HASHES)), sig[ok], least)]
-            out_a += [np.minimum(ids[ok], ids[x])]
-            out_b += [np.maximum(ids[ok], ids[x])]
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out_a, none])), pa.array(np.concatenate([*out_b, none]))], names=["a", "b"])
+            if len(ok):
+                first = (bands_[ok] == bands_[x]).argmax(1)
+                ok = ok[bands_[ok, first] == key[x]]
+            if not len(ok):
+                continue
+            mine = ready(x)
+            theirs = np.stack([ready(y) for y in ok.tolist()])
+            ok = ok[likely(np.broadcast_to(mine, theirs.shape), theirs, more, MORE_BATCH)]
+            for y in ok.tolist():
+                if alike(sets[x], sets[y], percent):
+                    out_a.append(min(ids[x], ids[y]))
+                    out_b.append(max(ids[x], ids[y]))
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -203,7 +245,8 @@ def _across(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield compare(held)
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "id", "component", "left", "n", "sig").mapInArrow(run, "a long, b long")
+    found = dealt.select("key", "i", "j", "id", "component", "other", "left", "n", "sig", "bands", "text").mapInArrow(run, "a long, b long")
+    return scratch.stage(found, "second_links")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -228,14 +271,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = verify(first, classes, docs, k, percent, scratch, "first")
     found = components(links, scratch, "early")
     inner = shared.where("m > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    second = scratch.stage(_across(scratch.stage(inner, "inner"), classes, percent).distinct().join(first, ["a", "b"], "left_anti"), "likely2")
-    more = verify(second, classes, docs, k, percent, scratch, "second")
+    more = _across(scratch.stage(inner, "inner"), classes, docs, k, percent, scratch)
     found = components(links.union(more), scratch, "final")
 
     # a node is a class's least document; a repeated doc_id can stand for more than one class
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").where((c("copies") > 1) | c("component").isNotNull()).select("f0", "f1", F.coalesce("component", "id").alias("component"))
     named = scratch.stage(named, "named")
-    scratch.drop("classes", "rows", "ends", "shared", "first", "likely1", "likely2", "inner", "first_texts", "second_texts")
+    scratch.drop("classes", "rows", "ends", "shared", "first", "likely1", "inner", "members", "first_texts", "members_texts")
     out = each.select("doc_id", "n", "f0", "f1").join(named, ["f0", "f1"], "left")
     component = F.when(c("n") > 0, F.coalesce("component", "doc_id")).otherwise(c("doc_id"))
     return out.select("doc_id", c("n").alias("n_shingles"), F.when(c("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(c("doc_id") == component, F.lit(True)).alias("kept"))
