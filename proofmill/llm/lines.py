@@ -5,6 +5,9 @@ least a = ceil(percent * (n + m) / (100 + percent)) tokens, and their first comm
 enough tokens can follow (prefix and positional filters), in lines whose sizes are near (length filter). Rarity comes from a count sketch of fixed size: any one order gives exact results, so the sketch only
 decides how few candidates there are. Parity bitmaps bound the symmetric difference from below and drop nearly
 all other candidates in the join itself. The rest are verified on their words.
+
+Thousands of lines may be alike. So each line first meets the earliest line of the groups that its least and greatest hashes
+and its size make; lines that this removes ("closed") do not meet each other in the join, but all others do.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
 
 def _plain(text: Column) -> Column:
     """Lower case, with spaces as the only blanks within lines."""
-    low = F.lower(text)
-    other = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\x0c")
-    return F.when(other, F.regexp_replace(low, "[\\x09\\x0B-\\x0D]", " ")).otherwise(low)
+    out = F.lower(text)
+    for blank in "\t\x0b\x0c\r":
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return out
 
 
 def _words(line: Column) -> Column:
@@ -70,58 +74,79 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None
     sketch = scratch.stage(_sketch(texts), "sketch").scalar()
 
     # a token: its count above 43 bits of its hash; the 17 bits that chose the count are not among them
-    token = lambda h: F.shiftleft(F.element_at("counts", (h.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))
-    each = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split(_plain(c("text")), "\n")).alias("line_no", "line"))
+    token = lambda h: F.shiftleft(F.get("counts", h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))
+    each = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.split(_plain(c("text")), "\n").alias("lines"))
+    each = each.select("doc_id", "mark", F.posexplode("lines").alias("line_no", "line"))  # a line's row holds neither the text nor the other lines
     each = each.select("doc_id", "mark", "line_no", "line", sketch.alias("counts"))  # used once, so that Spark puts the one value into the next step
-    each = each.select("doc_id", "mark", "line_no", F.sort_array(F.transform(_words(c("line")), token)).alias("ts")).withColumn("n", F.size("ts")).where("n > 0")
+    # no filter on n here: it would be moved below, and the words would be made twice
+    hashed = each.select("doc_id", "mark", "line_no", "counts", _words(c("line")).alias("hs"))
+    # no filter on n here: it would be moved below, and the words would be made twice
+    each = hashed.select("doc_id", "mark", "line_no", F.array_min("hs").alias("low"), F.array_max("hs").alias("high"), F.sort_array(F.transform("hs", token)).alias("ts")).withColumn("n", F.size("ts"))
     low = F.ceil(c("n") * percent / 100).cast("int")
     longest = c("n") - _needed(c("n"), low, percent) + 1
     at = F.struct(c("doc_id").isNull().alias("no_id"), "doc_id", "mark", "line_no").alias("at")
-    each = each.select(F.xxhash64("ts").alias("k0"), F.element_at("ts", 1).alias("k1"), "n", at, F.slice("ts", F.lit(1), longest).alias("prefix"), _parity(c("ts"), 0).alias("b0"), F.when(c("n") > 64, _parity(c("ts"), 1)).otherwise(F.lit(0).cast("long")).alias("b1"))
-    each = scratch.stage(each, "each")
-    sets = each.groupBy("k0", "k1", "n").agg(F.min(F.struct("at", "prefix", "b0", "b1")).alias("f"), F.count("*").alias("copies"))
-    sets = scratch.stage(sets.select(F.monotonically_increasing_id().alias("id"), "k0", "k1", "n", "copies", "f.at", "f.prefix", "f.b0", "f.b1"), "sets")
+    each = each.select(F.xxhash64("ts").alias("k0"), F.get("ts", F.lit(0)).alias("k1"), "n", at, F.slice("ts", F.lit(1), longest).alias("prefix"), _parity(c("ts"), 0).alias("b0"), F.when(c("n") > 64, _parity(c("ts"), 1)).otherwise(F.lit(0).cast("long")).alias("b1"), "low", "high")
+    each = scratch.stage(each, "each").where("n > 0")
+    sets = each.groupBy("k0", "k1", "n").agg(F.min(F.struct("at", "prefix", "b0", "b1", "low", "high")).alias("f"), F.count("*").alias("copies"))
+    sets = scratch.stage(sets.select(F.monotonically_increasing_id().alias("id"), "k0", "k1", "n", "copies", "f.*"), "sets")
 
     # every line whose words an earlier line has as a set
     again = sets.where("copies > 1").select("k0", "k1", c("at").alias("first"))
     copies = scratch.stage(each.select("k0", "k1", "at").join(again, ["k0", "k1"]).where(c("at") > c("first")).select("at"), "copies")
     scratch.drop("each")
 
-    def keys(size: Column, turn: int) -> Column:
-        each_ = F.transform(F.slice("prefix", F.lit(1), size), lambda t, i: F.struct(t.alias("key"), i.cast("short").alias("i")))
-        return F.filter(each_, lambda k: k["key"].bitwiseAND(F.lit(TURNS - 1)) == turn)
-
     need = _needed(c("n"), c("pn"), percent)
     x0, x1 = c("b0").bitwiseXOR(c("p0")), c("b1").bitwiseXOR(c("p1"))
     # beyond 64 tokens, b0 and b1 hold one half of them each; up to there, b0 holds all
     apart = F.when((c("n") > 64) == (c("pn") > 64), F.bit_count(x0) + F.bit_count(x1)).otherwise(F.bit_count(x0.bitwiseXOR(c("b1")).bitwiseXOR(c("p1"))))
-    near = ((c("n") < c("pn")) | ((c("n") == c("pn")) & (c("id") < c("pid")))) & (c("n") * 100 >= c("pn") * percent)
-    near = near & (F.least(c("pn") - c("pi"), c("n") - c("i")) >= need) & (apart <= c("n") + c("pn") - need * 2)
+    may = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (apart <= c("n") + c("pn") - need * 2)
+
+    # leaders: each line against the earliest of its groups
+    group = F.explode(F.array(F.xxhash64("low", "high"), F.xxhash64("n", "low"), F.xxhash64("n", "high"))).alias("g")
+    grouped = sets.select("id", "at", "n", "b0", "b1", group)
+    leaders = grouped.groupBy("g").agg(F.min(F.struct("at", "id", "n", "b0", "b1")).alias("l"), F.count("*").alias("m")).where("m > 1")
+    leaders = leaders.select("g", c("l.at").alias("pat"), c("l.id").alias("pid"), c("l.n").alias("pn"), c("l.b0").alias("p0"), c("l.b1").alias("p1"))
+    led = scratch.stage(grouped.join(leaders, "g").where((c("at") > c("pat")) & may).select("id", "pid").distinct(), "led")
+    closed = scratch.stage(_confirmed(texts, sets, led, percent, scratch, "led_words").select("id", "at").distinct(), "closed")
+
+    def keys(size: Column, turn: int) -> Column:
+        each_ = F.transform(F.slice("prefix", F.lit(1), size), lambda t, i: F.struct(t.alias("key"), i.cast("short").alias("i")))
+        return F.filter(each_, lambda k: k["key"].bitwiseAND(F.lit(TURNS - 1)) == turn)
+
+    # an open line is indexed for open and for closed ones, a closed line for open ones alone
+    flagged = sets.select("id", "n", "b0", "b1", "prefix").join(closed.select("id", F.lit(1).alias("shut")), "id", "left").withColumn("shut", F.coalesce("shut", F.lit(0)))
+    flagged = scratch.stage(flagged, "flagged")
+    near = ((c("n") < c("pn")) | ((c("n") == c("pn")) & (c("id") < c("pid")))) & may & (F.least(c("pn") - c("pi"), c("n") - c("i")) >= need)
     turns = []
     for turn in range(TURNS):  # a part of the tokens at a time, so that a turn's shuffle files go before the next
-        index = sets.select("id", "n", "b0", "b1", F.inline(keys(c("n") - _needed(c("n"), c("n"), percent) + 1, turn)).alias("key", "i"))
-        probe = sets.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), F.inline(keys(longest, turn)).alias("key", "pi"))
-        turns.append(scratch.stage(probe.join(index, "key").where(near).select("id", "pid").distinct(), f"pairs{turn}"))
+        index = flagged.select("id", "n", "b0", "b1", "shut", F.inline(keys(c("n") - _needed(c("n"), c("n"), percent) + 1, turn)).alias("key", "i"))
+        index = index.select("id", "n", "b0", "b1", "key", "i", F.explode(F.when(c("shut") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("shut"))
+        probe = flagged.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), "shut", F.inline(keys(longest, turn)).alias("key", "pi"))
+        turns.append(scratch.stage(probe.join(index, ["key", "shut"]).where(near).select("id", "pid").distinct(), f"pairs{turn}"))
     pairs = scratch.stage(reduce(DataFrame.union, turns).distinct(), "pairs")
+    unlike_first = _confirmed(texts, sets, pairs, percent, scratch, "words").select(F.greatest("at", "pat").alias("at")).distinct()
+
+    gone = copies.union(closed.select("at")).union(unlike_first).select("at.doc_id", "at.mark", "at.line_no")
+    gone = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("later"))
+    gone = scratch.stage(gone, "later")
+    scratch.drop("sets", "led", "closed", "flagged", "pairs", "led_words", "words", "copies", *[f"pairs{t}" for t in range(TURNS)])
+    return gone
 
-    # the words of candidates come from the documents again: only their places were kept
+
+def _confirmed(texts: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (id, pid) whose words are alike, with their places at and pat. Words come from the documents again: only lines' places were kept."""
+    c = F.col
     wanted = pairs.select("id").union(pairs.select(c("pid").alias("id"))).distinct()
-    wanted = sets.select("id", "at").join(wanted, "id").select(c("at.doc_id").alias("wanted_doc"), c("at.mark").alias("wanted_mark"), F.struct("id", c("at.line_no").alias("line_no")).alias("w"))
+    wanted = sets.select("id", "at").join(wanted, "id").select(c("at.doc_id").alias("wanted_doc"), c("at.mark").alias("wanted_mark"), F.struct("id", "at").alias("w"))
     wanted = wanted.groupBy("wanted_doc", "wanted_mark").agg(F.collect_list("w").alias("wanted"))
-    source = texts.withColumn("mark", F.xxhash64("text"))
+    source = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     split = source.join(wanted, c("doc_id").eqNullSafe(c("wanted_doc")) & (c("mark") == c("wanted_mark"))).select(F.split(_plain(c("text")), "\n").alias("ls"), "wanted")
-    split = split.select(F.inline(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.element_at("ls", w["line_no"] + 1).alias("line")))))
-    held = split.select("id", F.array_remove(F.array_distinct(F.split("line", " ")), "").alias("ws")).groupBy("id").agg(F.any_value("ws").alias("ws"))
-    held = scratch.stage(sets.select("id", "at").join(held, "id"), "words")
+    split = split.select(F.inline(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["at"].alias("at"), F.element_at("ls", w["at"]["line_no"] + 1).alias("line")))))
+    held = split.select("id", "at", F.array_remove(F.array_distinct(F.split("line", " ")), "").alias("ws")).dropDuplicates(["id"])  # rows that repeat a document
+    held = scratch.stage(held, name)
     other = held.withColumnsRenamed({"id": "pid", "ws": "pws", "at": "pat"})
     alike = F.size(F.array_intersect("ws", "pws")) * (100 + percent) >= (F.size("ws") + F.size("pws")) * percent
-    unlike_first = pairs.join(held, "id").join(other, "pid").where(alike).select(F.greatest("at", "pat").alias("at")).distinct()
-
-    gone = copies.union(unlike_first).select("at.doc_id", "at.mark", "at.line_no")
-    gone = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("later"))
-    gone = scratch.stage(gone, "later")
-    scratch.drop("sets", "pairs", "words", "copies", *[f"pairs{t}" for t in range(TURNS)])
-    return gone
+    return pairs.join(held, "id").join(other, "pid").where(alike).select("id", "pid", "at", "pat")
 
 
 def decide(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
