@@ -342,7 +342,7 @@ ROOT = """
 
 
 def test_replacements_rewrite_their_files(spark, tmp_path):
-    path = tmp_path / "root.edl"
+    path = tmp_path / "root.facts"
     path.write_text(ROOT)
     changes = {"t": [{"primary_key": "1", "replacements": {"id": "5", "v2": "3.41"}}, {"primary_key": "2", "replacements": {"v1": " hey!@#))* "}}, {"primary_key": "3", "replacements": {"v1": "yo"}}]}
     db = compile_files(spark, [str(path)], changes)
@@ -370,14 +370,14 @@ def test_replacements_refused(spark, changes, expected):
 
 def test_files_include_each_other(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "root.edl").write_text('INCLUDE "sub/more.edl"\nINCLUDE LUA "sub/rows.lua"\nINCLUDE DATA { DATA t { 1, x } }\nTABLE t { id INT, folder TEXT }')
-    (tmp_path / "sub" / "more.edl").write_text("DATA t { 2, y }")
+    (tmp_path / "root.facts").write_text('INCLUDE "sub/more.facts"\nINCLUDE LUA "sub/rows.lua"\nINCLUDE DATA { DATA t { 1, x } }\nTABLE t { id INT, folder TEXT }')
+    (tmp_path / "sub" / "more.facts").write_text("DATA t { 2, y }")
     (tmp_path / "sub" / "rows.lua").write_text("data('t', { id = 3, folder = SOURCE_DIR })")
-    rows = compile_files(spark, [str(tmp_path / "root.edl")]).to_json()["t"]
+    rows = compile_files(spark, [str(tmp_path / "root.facts")]).to_json()["t"]
     assert rows == [{"id": 2.0, "folder": "y"}, {"id": 1.0, "folder": "x"}, {"id": 3.0, "folder": str(tmp_path / "sub")}]
-    (tmp_path / "twice.edl").write_text('INCLUDE "sub/more.edl" INCLUDE "sub/more.edl"')
+    (tmp_path / "twice.facts").write_text('INCLUDE "sub/more.facts" INCLUDE "sub/more.facts"')
     with pytest.raises(e.FailureReadingExternalFile):
-        compile_files(spark, [str(tmp_path / "twice.edl")])
+        compile_files(spark, [str(tmp_path / "twice.facts")])
 
 
 def test_modules_make_rows(spark, tmp_path):
@@ -386,13 +386,13 @@ def test_modules_make_rows(spark, tmp_path):
     made = {"t": [{"id": 1}, {"id": 2}], "u": [{"id": 2, "n": 9}]}
     assert compile_text(spark, text, data_modules={"rows": lambda: made}).to_json() == expected
     (tmp_path / "rows").mkdir()
-    (tmp_path / "root.edl").write_text(text)
+    (tmp_path / "root.facts").write_text(text)
     with pytest.raises(e.OCamlDataModuleExecutionExitCodeNonZero):
-        compile_files(spark, [str(tmp_path / "root.edl")])
+        compile_files(spark, [str(tmp_path / "root.facts")])
     from proofmill.sources.modules import BEGIN, END
 
     (tmp_path / "rows" / "main.py").write_text(f"import json\nprint('noise', '{BEGIN}', json.dumps({made!r}), '{END}')")
-    assert compile_files(spark, [str(tmp_path / "root.edl")]).to_json() == expected
+    assert compile_files(spark, [str(tmp_path / "root.facts")]).to_json() == expected
     with pytest.raises(e.OCamlDataModuleTableDoesntExist):
         compile_text(spark, text, data_modules={"rows": lambda: {"z": []}})
     with pytest.raises(e.OCamlDataModuleBadColumnOutput):
@@ -400,17 +400,17 @@ def test_modules_make_rows(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "a.edl").write_text("TABLE t { id INT PRIMARY KEY }\nDATA t { 1; 2 }")
-    (tmp_path / "b.edl").write_text("DATA t { 3 }")
+    (tmp_path / "a.facts").write_text("TABLE t { id INT PRIMARY KEY }\nDATA t { 1; 2 }")
+    (tmp_path / "b.facts").write_text("DATA t { 3 }")
     out = [f"--{k}={tmp_path / v}" for k, v in (("parquet-output-directory", "p"), ("json-output-directory", "j"), ("sqlite-output-file", "s.db"), ("dump-source-file", "d.program"))]
-    assert cli.main([str(tmp_path / "a.edl"), str(tmp_path / "b.edl"), *out], spark) == 0
+    assert cli.main([str(tmp_path / "a.facts"), str(tmp_path / "b.facts"), *out], spark) == 0
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "p" / "t")).collect()) == [1, 2, 3]
     assert spark.read.json(str(tmp_path / "j" / "t")).count() == 3
     import sqlite3
 
     with sqlite3.connect(tmp_path / "s.db") as db:
         assert db.execute("SELECT rowid, id FROM t ORDER BY 1").fetchall() == [(1, 1), (2, 2), (3, 3)]
-    assert cli.main([str(tmp_path / "d.program"), str(tmp_path / "a.edl")], spark) == 1
+    assert cli.main([str(tmp_path / "d.program"), str(tmp_path / "a.facts")], spark) == 1
     assert "included more than once" in capsys.readouterr().err
 
 
