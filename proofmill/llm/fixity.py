@@ -142,22 +142,20 @@ def _at(level: tuple[int, int]) -> list[Column]:
     return [(F.floor(F.col("archive") / group) * group).cast("long").alias("archive"), range_.cast("long").alias("offset")]
 
 
-def tree(manifest: DataFrame, shape: list[tuple[int, int]], scratch: Scratch, name: str) -> list[DataFrame]:
-    """Nodes (archive, offset, h) by level, records first; a node is named by its first archive and offset."""
-    out = [manifest.select("archive", "offset", F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256).alias("h"))]
+def trees(left: DataFrame, right: DataFrame, shape: list[tuple[int, int]], scratch: Scratch) -> list[DataFrame]:
+    """Nodes of both replicas' trees by level, records first: archive and offset (the first below the node), and its hash on either side, lh and rh (null: the side has no such node)."""
+    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
+    at = ["archive", "offset"]
+    out = [scratch.stage(left.select(*at, leaf.alias("lh")).join(right.select(*at, leaf.alias("rh")), at, "full"), "nodes")]
     for k, level in enumerate(shape):
-        child = F.struct("archive", "offset", "h")
-        grouped = out[-1].withColumn("child", child).select(*_at(level), "child").groupBy("archive", "offset").agg(F.array_sort(F.collect_list("child")).alias("cs"))
-        text = F.array_join(F.transform("cs", lambda x: F.concat_ws(":", x["archive"], x["offset"], x["h"])), "\n")
-        out.append(scratch.stage(grouped.select("archive", "offset", F.sha2(text, 256).alias("h")), f"{name}_{k}"))
+        child = lambda h: F.when(F.col(h).isNotNull(), F.struct("archive", "offset", F.col(h).alias("h")))
+        below = out[-1].withColumns({"l": child("lh"), "r": child("rh")}).select(*_at(level), "l", "r")
+        grouped = below.groupBy(*at).agg(F.array_sort(F.collect_list("l")).alias("ls"), F.array_sort(F.collect_list("r")).alias("rs"))
+        hashed = lambda cs: F.when(F.size(cs) > 0, F.sha2(F.array_join(F.transform(cs, lambda x: F.concat_ws(":", x["archive"], x["offset"], x["h"])), "\n"), 256))
+        out.append(scratch.stage(grouped.select(*at, hashed("ls").alias("lh"), hashed("rs").alias("rh")), f"nodes_{k}"))
     return out
 
 
-def _apart(left: DataFrame, right: DataFrame) -> DataFrame:
-    both = left.withColumnRenamed("h", "lh").join(right.withColumnRenamed("h", "rh"), ["archive", "offset"], "full")
-    return both.where(~F.col("lh").eqNullSafe(F.col("rh"))).select("archive", "offset")
-
-
 def audit(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     """A row for each record in which two manifests (archive long, offset, length, digest, and others in left) differ.
 
@@ -169,20 +167,19 @@ def audit(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     left, right = (m.where(c("archive").isNotNull() & c("offset").isNotNull()) for m in (left, right))
     far = left.select(*at).union(right.select(*at)).agg(F.max("archive").alias("a"), F.max("offset").alias("o")).first()
     shape = levels((far["a"] or 0) + 1, (far["o"] or 0) + 1)
-    lefts, rights = tree(left, shape, scratch, "left"), tree(right, shape, scratch, "right")
-    bad = scratch.stage(_apart(lefts[-1], rights[-1]), "bad_root")
+    nodes = trees(left, right, shape, scratch)
+    apart = ~c("lh").eqNullSafe(c("rh"))
+    bad = nodes[-1].where(apart).select(*at)
     for k in range(len(shape) - 1, -1, -1):
+        a, o = _at(shape[k])
         parent = bad.select(c("archive").alias("pa"), c("offset").alias("po"))
-
-        def below(nodes: DataFrame, level: tuple[int, int] = shape[k], parent: DataFrame = parent) -> DataFrame:
-            a, o = _at(level)
-            return nodes.withColumns({"na": a, "no": o}).join(parent, (c("na") == c("pa")) & (c("no") == c("po")), "left_semi").drop("na", "no")
-
-        bad = scratch.stage(_apart(below(lefts[k]), below(rights[k])), f"bad_{k}")
+        below = nodes[k].withColumns({"na": a, "no": o}).join(parent, (c("na") == c("pa")) & (c("no") == c("po")), "left_semi")
+        bad = below.where(apart).select(*at)
+    bad = scratch.stage(bad, "bad")
     wrong = bad.join(left, at, "left").join(right.select(*at, c("length").alias("replica_length"), c("digest").alias("replica_digest")), at, "left")
     wrong = scratch.stage(wrong, "wrong")
     there = wrong.where("replica_digest is not null").groupBy("archive", c("replica_digest").alias("digest")).agg(F.min("offset").alias("moved_to"))
-    here = wrong.where("digest is not null").select("archive", c("digest").alias("replica_digest"), F.lit(True).alias("known")).distinct()
+    here = wrong.where("digest is not null").select("archive", c("digest").alias("replica_digest")).distinct()
     lost = wrong.where("digest is not null").join(there, ["archive", "digest"], "left")
     kind = F.when(c("moved_to").isNotNull(), "moved").when(c("replica_digest").isNotNull(), "changed").otherwise("missing")
     extra = wrong.where("digest is null").join(here, ["archive", "replica_digest"], "left_anti").withColumns({"moved_to": F.lit(None).cast("long"), "kind": F.lit("extra")})

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from .hashing import stems, word_hashes
 from .linear import fit, sigmoid
 from .statistics import NAMES, features
-from .util import clean_names, table, text_bytes, text_slices
+from .util import Scratch, clean_names, table, text_bytes, text_slices
 
 #: Labelled rows that models are fitted on, at most, and words that they know.
 ROWS, MARKED, FOLDS = 12000, 200, 3
+TURNS = 2
 #: Bytes of a word's beginnings that are marked words of their own, for families of words.
 STEMS = (3, 4, 5, 6)
 
@@ -38,8 +39,8 @@ def categories(labels: DataFrame) -> list[str]:
     return sorted(names, key=lambda n: n == "toxic")
 
 
-def marked_words(docs: DataFrame, labels: DataFrame, names: list[str], most: int = MARKED) -> np.ndarray:
-    """Hashes of the words whose presence tells most about any category, over all labelled documents: a fixed number."""
+def marked_words(both: DataFrame, names: list[str], scratch: Scratch, most: int = MARKED) -> np.ndarray:
+    """Hashes of the words whose presence tells most about any category, over all labelled documents (text and categories): a fixed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=2 << 20):
@@ -53,16 +54,16 @@ def marked_words(docs: DataFrame, labels: DataFrame, names: list[str], most: int
                 cols.append(np.bincount(which, y[doc] == 1, len(word)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in cols]], names=["word", "n", *names])
 
-    both = docs.join(labels, "doc_id")
     totals = both.agg(F.count("*").alias("n"), *[F.sum(n).cast("long").alias(n) for n in names]).first()
     counts = both.select("text", *names).mapInArrow(run, "word long, n long, " + ", ".join(f"`{n}` long" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in ("n", *names)])
+    counts = scratch.stage(counts.where("n >= 5"), "counts")
     picked: set[int] = set()
     for name in names:
         p = (totals[name] or 0) / max(1, totals["n"])
         if 0 < p < 1:
             z = F.abs(F.col(name) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p) + 1.0)
             share = most // len(names)
-            picked |= {r["word"] for r in counts.where("n >= 5").orderBy(z.desc(), "word").limit(share).collect()}
+            picked |= {r["word"] for r in counts.orderBy(z.desc(), "word").limit(share).collect()}
     return np.sort(np.array(sorted(picked), np.int64).view(np.uint64)) if picked else np.zeros(0, np.uint64)
 
 
@@ -129,10 +130,16 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     names = categories(labels)
     known = clean_names(labels, ["doc_id", *names]).where(c("doc_id").isNotNull()).groupBy(c("doc_id").cast("long").alias("doc_id")).agg(*[F.max(c(n).cast("int")).alias(n) for n in names])
     base = clean_names(docs, ["doc_id", "text"]).select(c("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = marked_words(base, known, names)
+    scratch = Scratch(spark)
+    both = None  # labelled documents: joined once, a part of the ids at a time, so that a part's shuffle files go before the next; labels grow with the corpus, so they are never broadcast
+    for turn in range(TURNS):
+        own = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)) == turn).join(known.hint("merge"), "doc_id").select("doc_id", *names, "text")
+        own = scratch.stage(own, f"labelled{turn}")
+        both = own if both is None else both.union(own)
+    words = marked_words(both, names, scratch)
     total = known.count()
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = known.where(pick < min(1.0, 1.2 * (rows + 100) / max(1, total)))
+    some = both.where(pick < min(1.0, 1.2 * (rows + 100) / max(1, total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -140,8 +147,9 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(n) for n in names], pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["doc_id", *names, "x"])
 
     schema = ", ".join(["doc_id long", *[f"`{n}` int" for n in names], "x binary"])
-    got = base.join(F.broadcast(some), "doc_id").select("doc_id", *names, "text").mapInArrow(run, schema).withColumn("f", F.crc32(c("doc_id").cast("string")) % FOLDS)
+    got = some.mapInArrow(run, schema).withColumn("f", F.crc32(c("doc_id").cast("string")) % FOLDS)
     got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(rows).collect()
+    scratch.close()
     chain = None
     if got:
         x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), "<f4").reshape(len(got), -1)
