@@ -212,6 +212,21 @@ def test_shared_passages(spark):
     assert cut[1] == texts[1].replace(shared, "") and cut[0] == texts[0] and cut[6] is None
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    draw = random.Random(16)
+    shared, fuzzy, one, two = prose(60, draw).split(" "), prose(150, draw).split(" "), prose(52, draw), prose(52, draw)
+    text = lambda ws: f"{prose(40, draw)} {' '.join(ws)} {prose(40, draw)}"
+    texts = [text(shared[:30]), text(shared[30:]), text(shared), text(shared)]  # neither half is a passage
+    texts += [text(fuzzy[k : k + 30]) for k in range(0, 150, 30)] + [text(fuzzy), text(altered(" ".join(fuzzy), 0.05, draw).split(" "))]
+    texts += [text([one, prose(38, draw), two]), text([one, prose(38, draw), two])]  # too unlike with what stands between
+    rows = passages.repeated(frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in rows} == {(3, 2), (10, 9), (12, 11)}
+    spans = [texts[r["doc_id"]][r["start_char"] : r["end_char"]] for r in rows if r["doc_id"] != 10]
+    assert sorted(spans) == sorted([" ".join(shared), one, two])
+    cut = {r["doc_id"]: r["text"] for r in passages.without(frame(spark, texts)).collect()}
+    assert cut[3] == texts[3].replace(" ".join(shared), "") and cut[2] == texts[2]
+
+
 # fingerprints
 
 
