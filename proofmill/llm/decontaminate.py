@@ -116,33 +116,53 @@ class Items:
         self._tables(recall)
 
     def _tables(self, recall: float) -> None:
-        """How many tables of two positions each the recall takes, from items with k random edits."""
+        """How many tables of two positions each the recall takes, from all items that allow edits, with k random edits each.
+
+        Items are taken by classes of size, since a few edits of a short one and many of a long one agree in different measure;
+        the class that agrees least decides. Items without edits are verified directly and need no table.
+        """
         draw = np.random.default_rng(3)
-        pick = [i for i in range(len(self.texts)) if self.texts[i] and i not in set(self.whole)][:24]
-        agree = []
-        for i in pick:
-            t = bytearray(self.texts[i])
-            for _ in range(self.k[i]):
-                p, what = int(draw.integers(0, max(1, len(t)))), draw.integers(0, 3)
-                if what == 0:
-                    t[p : p + 1] = bytes([int(draw.integers(97, 123))])
-                elif what == 1:
-                    t.insert(p, int(draw.integers(97, 123)))
-                elif len(t) > 1:
-                    del t[p]
-            size = min(len(self.texts[i]), self.longest)
-            two = np.zeros((2, self.longest), np.uint8)
-            for r, x in enumerate((self.texts[i], bytes(t))):
-                two[r, : min(len(x), size)] = np.frombuffer(x, np.uint8)[:size]
-            for w in range(len(self.walks.bits)):
-                e = self.walks.embed(two, np.array([size, size]), w, 2 * size)
-                agree.append(float((e[0] == e[1]).mean()))
-        low = max(0.1, float(np.quantile(agree, 0.05))) if agree else 0.5
+        classes: dict[int, list[int]] = {}
+        for i in range(len(self.texts)):
+            if self.k[i]:
+                classes.setdefault(min(len(self.texts[i]), self.longest).bit_length(), []).append(i)
+        lows = []
+        for own in classes.values():
+            agree = []
+            for low in range(0, len(own), 256):
+                part = own[low : low + 256]
+                sizes = np.array([min(len(self.texts[i]), self.longest) for i in part] * 2)
+                rows = np.zeros((2 * len(part), int(sizes.max())), np.uint8)
+                for r, i in enumerate(part):
+                    t = bytearray(self.texts[i])
+                    for _ in range(self.k[i]):
+                        p, what = int(draw.integers(0, max(1, len(t)))), draw.integers(0, 3)
+                        if what == 0:
+                            t[p : p + 1] = bytes([int(draw.integers(97, 123))])
+                        elif what == 1:
+                            t.insert(p, int(draw.integers(97, 123)))
+                        elif len(t) > 1:
+                            del t[p]
+                    for at, x in ((r, self.texts[i]), (len(part) + r, bytes(t))):
+                        y = np.frombuffer(x, np.uint8)[: sizes[r]]
+                        rows[at, : len(y)] = y
+                for w in range(len(self.walks.bits)):
+                    e = self.walks.embed(rows, sizes, w, int(2 * sizes.max()))
+                    same = e[: len(part)] == e[len(part) :]
+                    agree += [float(same[r, : 2 * sizes[r]].mean()) for r in range(len(part))]
+            lows.append(min(agree))
+        low = min(0.999, max(0.1, min(lows))) if lows else 0.5
         self.tables = max(8, math.ceil(math.log(1 - recall) / math.log(1 - low**2)))
         self.positions = np.random.default_rng(5).random((self.tables, 2))
 
     def passes(self, windows: list[bytes], owners: list[int]) -> np.ndarray:
-        """Which windows share a table with their item."""
+        """Which windows share a table with their item, or belong to an item that allows no edits, which is cheap to verify."""
+        done = np.array([not self.k[o] for o in owners], bool)
+        rest = np.flatnonzero(~done)
+        done[rest] = self._meets([windows[r] for r in rest], [owners[r] for r in rest])
+        return done
+
+    def _meets(self, windows: list[bytes], owners: list[int]) -> np.ndarray:
         n, ok = len(windows), np.zeros(len(windows), bool)
         for low in range(0, n, 256):
             part, own = windows[low : low + 256], owners[low : low + 256]

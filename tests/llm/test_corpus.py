@@ -193,6 +193,24 @@ def test_items_within_their_edits(spark):
     assert kept == set(range(len(texts))) - {d for d, _ in found}
 
 
+@pytest.mark.parametrize("lengths", [[20], [20] * 24 + [300], [16, 23, 20, 150, 600]])
+def test_items_of_mixed_lengths(spark, lengths):
+    """Short items, which allow no edits, alone and before longer ones."""
+    draw = random.Random(12)
+    items = [prose(140, draw)[:n].replace(" ", "q") if n < 24 else prose(140, draw)[:n].strip() for n in lengths]
+    texts = [f"{prose(8, draw)} {t} {prose(6, draw)}" for t in items] + [f"{prose(8, draw)} {t[: len(t) // 2]}#{t[len(t) // 2 + 1 :]} {prose(6, draw)}" for t in items]
+    rows = decontaminate.find(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    n = len(items)
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in rows} == {(k, k, 0) for k in range(n)} | {(n + k, k, 1) for k in range(n) if len(items[k]) >= 24}
+
+
+def test_tables_come_from_all_items():
+    draw = random.Random(13)
+    short, long_ = ([prose(140, draw)[:n].encode() for _ in range(24)] for n in (30, 300))
+    tables = lambda texts: decontaminate.Items(list(range(len(texts))), texts).tables
+    assert tables(short + long_) >= 0.8 * tables(long_)
+
+
 # passages
 
 
