@@ -119,12 +119,12 @@ class Items:
         """How many tables of two positions each the recall takes, from all items that allow edits, with k random edits each.
 
         Items are taken by classes of size, since a few edits of a short one and many of a long one agree in different measure;
-        the class that agrees least decides. Items without edits are verified directly and need no table.
+        the class that agrees least decides. Items without edits, and items over `longest` bytes, are verified directly and need no table.
         """
         draw = np.random.default_rng(3)
         classes: dict[int, list[int]] = {}
         for i in range(len(self.texts)):
-            if self.k[i]:
+            if self.k[i] and len(self.texts[i]) <= self.longest:
                 classes.setdefault(min(len(self.texts[i]), self.longest).bit_length(), []).append(i)
         lows = []
         for own in classes.values():
@@ -156,8 +156,8 @@ class Items:
         self.positions = np.random.default_rng(5).random((self.tables, 2))
 
     def passes(self, windows: list[bytes], owners: list[int]) -> np.ndarray:
-        """Which windows share a table with their item, or belong to an item that allows no edits, which is cheap to verify."""
-        done = np.array([not self.k[o] for o in owners], bool)
+        """Which windows share a table with their item, or belong to an item that goes without tables: one that allows no edits, or one too long to be sampled whole."""
+        done = np.array([not self.k[o] or len(self.texts[o]) > self.longest for o in owners], bool)
         rest = np.flatnonzero(~done)
         done[rest] = self._meets([windows[r] for r in rest], [owners[r] for r in rest])
         return done

@@ -204,6 +204,17 @@ def test_items_of_mixed_lengths(spark, lengths):
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in rows} == {(k, k, 0) for k in range(n)} | {(n + k, k, 1) for k in range(n) if len(items[k]) >= 24}
 
 
+def test_long_items_edited_at_their_start(spark):
+    draw = random.Random(14)
+    item = prose(2400, draw)[:9000].strip()
+    k = len(item) // 10 - 10
+    start = "".join(draw.choice("qrstuv") if n < k else ch for n, ch in enumerate(item))  # all edits at the start
+    windows = decontaminate.Items([0], [item.encode()])
+    assert windows.passes([start.encode(), ("#" * 4096 + item[4096:]).encode()], [0, 0]).all()  # left to verification
+    rows = decontaminate.find(frame(spark, [f"{prose(8, draw)} {start} {prose(6, draw)}", prose(50, draw)]), spark.createDataFrame([(0, item)], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in rows] == [(0, 0)] and k - 60 <= rows[0]["distance"] <= k
+
+
 def test_tables_come_from_all_items():
     draw = random.Random(13)
     short, long_ = ([prose(140, draw)[:n].encode() for _ in range(24)] for n in (30, 300))
