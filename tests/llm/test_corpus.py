@@ -98,6 +98,12 @@ def test_packing_histogram_is_tight():
     assert sequences <= 1.08 * sum(k * v for k, v in counts.items()) / 100 + 1
 
 
+def test_packing_of_many_short_pieces_wastes_little():
+    counts = {n: 2000 // n for n in range(1, 101)}
+    _, sequences = pack_histogram(counts, 100)
+    assert sequences <= 1.02 * sum(k * v for k, v in counts.items()) / 100 + 1
+
+
 # near-duplicates
 
 
