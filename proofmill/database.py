@@ -80,6 +80,21 @@ class Database:
         if rules := [p for p in self.program.proofs if p.language == "DATALOG"]:
             proofs.check_datalog(self.spark, rules, self.catalog, self.frames)
 
+    def proof_offenders(self, comment: str) -> DataFrame:
+        """All rows that offend against the proof of that name, as often as it finds them; its error tells the first proofs.SHOWN of them."""
+        found = next((p for p in self.program.proofs if p.comment == comment), None)
+        if found is None:
+            raise KeyError(comment)
+        if found.language == "SQL":
+            self._register(*self.frames)
+            return proofs.rows_of(self.frames[found.table], proofs.sql_offenders(self.spark, found, self._sql_tables()))
+        program, relations = proofs.rules.RuleProgram(), proofs.edb(self.catalog, self.frames)
+        for k, p in enumerate(p for p in self.program.proofs if p.language == "DATALOG"):
+            rows = proofs.datalog_offenders(self.spark, p, f"rows_against_{k}", program, self.catalog, relations)
+            if p is found:
+                return proofs.rows_of(self.frames[p.table], rows)
+        raise KeyError(comment)
+
     # navigation
 
     def pointers(self, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.rules import Atom, Constant, Literal, Rule, RuleError, RuleProgram, Term, Variable
-from .fixpoint import Rounds
+from ..sources.staging import Rounds
 
 _KINDS = {"string": "string", "bigint": "integer", "int": "integer", "smallint": "integer", "tinyint": "integer", "double": "float", "float": "float", "boolean": "boolean"}
 _DECLARED = {"string": "string", "integer": "bigint", "boolean": "boolean", "float": "double"}
@@ -233,7 +233,7 @@ class Evaluator:
             for p, parts in found.items():
                 new = self._union(parts).distinct()
                 if p in known:
-                    new = new.subtract(known[p])
+                    new = new.join(known[p].alias("known"), [new[c].eqNullSafe(F.col(f"known.{c}")) for c in new.columns], "left_anti")  # new rows are distinct already
                 like.setdefault(p, new)
                 new = rounds.keep(new, f"{p}_{k}")
                 if not new.isEmpty():

@@ -16,6 +16,8 @@ from . import datalog
 from .sql import Query, translate
 
 HEADER = "OUTPUT(Offender)"
+#: Offending rows that an error tells; Database.proof_offenders() has all of them, as a DataFrame.
+SHOWN = 10_000
 
 
 def sql_offenders(spark: SparkSession, proof: Proof, tables: dict[str, tuple[str, list[tuple[str, str]]]]) -> DataFrame:
@@ -59,7 +61,7 @@ def check_sql(spark: SparkSession, proofs: list[Proof], catalog: Catalog, frames
         found = sql_offenders(spark, p, tables)
         numbered = found.withColumn("__n", F.monotonically_increasing_id())
         try:
-            rows = rows_of(frames[p.table], numbered).orderBy("__n").drop("__n").collect()
+            rows = rows_of(frames[p.table], numbered).orderBy("__n").limit(SHOWN).drop("__n").collect()
         except PySparkException as err:
             raise e.SqlProofQueryError(table_name=p.table, comment=p.comment, proof_expression=p.text, error=str(err)) from None
         if rows:
@@ -71,38 +73,45 @@ def edb(catalog: Catalog, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {f"t_{t.name}__{c.name}": frames[t.name].select(F.col(c.name).alias("c0"), F.col(RID).alias("c1")) for t in catalog.tables.values() for c in t.columns}
 
 
+def datalog_offenders(spark: SparkSession, p: Proof, label: str, program: rules.RuleProgram, catalog: Catalog, relations: dict[str, DataFrame]) -> DataFrame:
+    """__rid of each offender that a proof's rules derive. The rules are added to the program, which later proofs also see."""
+    at = {"table_name": p.table, "comment": p.comment, "proof_expression": p.text}
+    if p.table not in catalog.tables:
+        raise e.DatalogProofTableNotFound(**at)
+    count = p.text.count(HEADER)
+    if not count:
+        raise e.DatalogProofOutputRuleNotFound(**at, error=f"Datalog proof must contain output rule for offenders in the format like '{HEADER} :- t_some_table__some_column(ColVal, Offender), ColVal = 7.'")
+    if count > 1:
+        raise e.DatalogProofTooManyOutputRules(**at, error=f"Only one '{HEADER}' rule may exist in a datalog proof.")
+    before = len(program.rules)
+    try:
+        rules.read(p.text.replace(HEADER, f"{label}(Offender)"), program)
+    except (rules.RuleSyntaxError, rules.RuleError) as err:
+        raise e.DatalogProofQueryParseError(**at, error=str(err)) from None
+    if len(program.rules) == before:
+        raise e.DatalogProofNoRulesFound(**at, error=f"No datalog queries found in proof. There must exist one {HEADER} rule in a proof.")
+    own = [r for r in program.rules[before:] if r.head and r.head.predicate == label]
+    if len(own) != 1 or own[0].head.terms != (rules.Variable("Offender"),):
+        raise e.DatalogProofBadOutputRuleFormat(**at, error="There must be only one variable in output rule named Offender.")
+    prefix = f"t_{p.table}__"
+    if not any(x.atom and x.atom.predicate.startswith(prefix) and x.atom.terms[1:] == (rules.Variable("Offender"),) for x in own[0].body):
+        raise e.DatalogProofTableExpectedNotFoundInTheOutputQuery(**at, error=f"Expected term like '{prefix}<column name>(_, Offender)' not found in the output query")
+    try:
+        return datalog.evaluate(spark, needed(program, label), relations).relations[label].select(F.col("c0").alias(RID))
+    except (rules.RuleError, PySparkException) as err:
+        raise e.DatalogProofQueryingFailure(**at, error=str(err)) from None
+
+
 def check_datalog(spark: SparkSession, proofs: list[Proof], catalog: Catalog, frames: dict[str, DataFrame]) -> None:
-    program = rules.RuleProgram()
-    relations = edb(catalog, frames)
+    program, relations = rules.RuleProgram(), edb(catalog, frames)
     for k, p in enumerate(proofs):
-        at = {"table_name": p.table, "comment": p.comment, "proof_expression": p.text}
-        if p.table not in catalog.tables:
-            raise e.DatalogProofTableNotFound(**at)
-        count = p.text.count(HEADER)
-        if not count:
-            raise e.DatalogProofOutputRuleNotFound(**at, error=f"Datalog proof must contain output rule for offenders in the format like '{HEADER} :- t_some_table__some_column(ColVal, Offender), ColVal = 7.'")
-        if count > 1:
-            raise e.DatalogProofTooManyOutputRules(**at, error=f"Only one '{HEADER}' rule may exist in a datalog proof.")
-        label, before = f"datalog_proof_{k}", len(program.rules)
-        try:
-            rules.read(p.text.replace(HEADER, f"{label}(Offender)"), program)
-        except (rules.RuleSyntaxError, rules.RuleError) as err:
-            raise e.DatalogProofQueryParseError(**at, error=str(err)) from None
-        if len(program.rules) == before:
-            raise e.DatalogProofNoRulesFound(**at, error=f"No datalog queries found in proof. There must exist one {HEADER} rule in a proof.")
-        own = [r for r in program.rules[before:] if r.head and r.head.predicate == label]
-        if len(own) != 1 or own[0].head.terms != (rules.Variable("Offender"),):
-            raise e.DatalogProofBadOutputRuleFormat(**at, error="There must be only one variable in output rule named Offender.")
-        prefix = f"t_{p.table}__"
-        if not any(x.atom and x.atom.predicate.startswith(prefix) and x.atom.terms[1:] == (rules.Variable("Offender"),) for x in own[0].body):
-            raise e.DatalogProofTableExpectedNotFoundInTheOutputQuery(**at, error=f"Expected term like '{prefix}<column name>(_, Offender)' not found in the output query")
+        found = datalog_offenders(spark, p, f"rows_against_{k}", program, catalog, relations)
         try:
-            found = datalog.evaluate(spark, needed(program, label), relations).relations[label]
-            rows = frames[p.table].join(found.select(F.col("c0").alias(RID)), RID).collect()
-        except (rules.RuleError, PySparkException) as err:
-            raise e.DatalogProofQueryingFailure(**at, error=str(err)) from None
+            rows = rows_of(frames[p.table], found).orderBy(RID).limit(SHOWN).collect()
+        except PySparkException as err:
+            raise e.DatalogProofQueryingFailure(table_name=p.table, comment=p.comment, proof_expression=p.text, error=str(err)) from None
         if rows:
-            raise e.DatalogProofOffendersFound(**at, offending_columns=sorted(pretty(catalog[p.table], r) for r in rows))
+            raise e.DatalogProofOffendersFound(table_name=p.table, comment=p.comment, proof_expression=p.text, offending_columns=sorted(pretty(catalog[p.table], r) for r in rows))
 
 
 def needed(program: rules.RuleProgram, label: str) -> rules.RuleProgram:

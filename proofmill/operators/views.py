@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import real_text
 from ..plans import errors as e
-from ..plans.catalog import RID, Table
+from ..plans.catalog import Table
 from ..plans.sqltext import SqlSyntaxError, Unsupported
-from ..sources.tables import numbered, numbered_by
+from ..sources.tables import after, placed, ranged
 from .sql import Query, translate
 
 STORED = {"INT": "INT", "REAL": "FLOAT", "TEXT": "TEXT"}
@@ -73,24 +73,19 @@ def view_rows(spark: SparkSession, table: Table, tables: dict[str, tuple[str, li
                 value = typed(stored, c.type, col)
             kinds.append(stored)
         picked.append(value.alias(c.name))
-    bad = df.select(F.coalesce(*wrong).alias("bad")).where("bad is not null")
+    texts = [(real_text(F.col(f"c{i}")) if k == "REAL" else F.col(f"c{i}").cast("string")).alias(f"t{i}") for i, k in enumerate(kinds)]
+    keys = [f"t{i}" for i in range(len(kinds))]
+    rows = df.select(*picked, *texts, F.coalesce(*wrong).alias("__bad"), F.monotonically_increasing_id().alias("__seen"))
     try:
-        first = bad.select(F.monotonically_increasing_id().alias("n"), "bad").orderBy("n").limit(1).collect()
+        staged = placed(ranged(rows, keys), "view")  # the statement runs once, for its checks and for its rows
+        first = staged.where("__bad is not null").select("__seen", "__bad").orderBy("__seen").limit(1).collect()
     except PySparkException as err:
         raise e.SqlMatViewStatementQueryException(**at, error=str(err)) from None
     if first:
-        found = first[0]["bad"]
+        found = first[0]["__bad"]
         column = table.columns[found["i"]]
-        spot = {"column_name": column.name, "return_row_index": _row_index(df, wrong)}
+        spot = {"column_name": column.name, "return_row_index": staged.where(F.col("__seen") < first[0]["__seen"]).count() + 1}
         if not found["kind"]:
             raise e.SqlMatViewNullReturnsUnsupported(**at, **spot)
         raise e.SqlMatViewWrongColumnTypeReturned(**at, **spot, actual_column_type=found["kind"], expected_column_type=column.type)
-    texts = [(real_text(F.col(f"c{i}")) if k == "REAL" else F.col(f"c{i}").cast("string")).alias(f"t{i}") for i, k in enumerate(kinds)]
-    rows = df.select(*picked, *texts)
-    return numbered_by(rows, [f"t{i}" for i in range(len(kinds))]).select(RID, *table.names)
-
-
-def _row_index(df: DataFrame, wrong: list[Column]) -> int:
-    """The place, from 1, of the first wrong row; row numbers follow the partitions, as the rows do."""
-    bad = numbered(df.select(F.coalesce(*wrong).isNotNull().alias("bad"))).where("bad").agg(F.min(RID).alias("n")).first()
-    return int(bad["n"]) + 1
+    return after(staged, table.names)

@@ -164,7 +164,3 @@ CATALOGUE = {
 for _name, _fields in CATALOGUE.items():
     globals()[_name] = type(_name, (ValidationError,), {"fields": tuple(_fields.split()), "__module__": __name__})
 del _name, _fields
-
-
-def __getattr__(name: str) -> type[ValidationError]:
-    raise AttributeError(name)

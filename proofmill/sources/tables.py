@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import RID, SPARK_TYPES, Table
 from ..plans.errors import DataRequiredNonDefaultColumnValueNotProvided
+from .staging import Rounds
 
 _ARROW = {"TEXT": pa.string(), "INT": pa.int64(), "FLOAT": pa.float64(), "BOOL": pa.bool_()}
 
@@ -20,26 +21,36 @@ def from_rows(spark: SparkSession, table: Table, rows: list[tuple], first: int =
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[RID, *table.names]), schema=f"{RID} bigint, {table.schema}")
 
 
+def placed(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df with its place: __at in the partition __part. Written first: a plan that is run again may deal its rows out otherwise, and then rows would be lost or numbered twice."""
+    at = F.monotonically_increasing_id()
+    staged = Rounds(df.sparkSession).keep(df.withColumn("__at", at), name)
+    return staged.withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df sorted by the keys, dealt out by ranges of them. Rows of equal keys are spread too, so that a common key is no hot range."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    return tied.repartitionByRange(parts, *keys, "__tie").sortWithinPartitions(*keys, "__tie").drop("__tie")
+
+
 def numbered(df: DataFrame, first: int = 0) -> DataFrame:
-    """df with __rid: the place of each row in the order of its partitions, which df must give the same way each time. Partitions' sizes alone are shuffled."""
-    placed = df.withColumn("__at", F.monotonically_increasing_id())
-    placed = placed.withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
-    return _after(placed, df.columns, first)
+    """df with __rid: the place of each row in the order of its partitions. df is run once and written to the shared folder."""
+    return after(placed(df), df.columns, first)
 
 
-def _after(placed: DataFrame, columns: list[str], first: int) -> DataFrame:
-    """Row numbers from places (__at) in parts (__part): how many rows are in the parts before is added."""
+def after(placed: DataFrame, columns: list[str], first: int = 0) -> DataFrame:
+    """Row numbers from places (__at) in parts (__part): how many rows are in the parts before is added. There is one count a part, and they alone are broadcast."""
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(F.col("__part").alias("__p"), before.alias("__before"))
-    return placed.join(sizes, F.col("__part") == F.col("__p")).select((F.col("__at") + F.col("__before") + first).cast("long").alias(RID), *columns)
+    return placed.join(F.broadcast(sizes), F.col("__part") == F.col("__p"), "left").select((F.col("__at") + F.col("__before") + first).cast("long").alias(RID), *columns)
 
 
 def numbered_by(df: DataFrame, keys: list[str], first: int = 0) -> DataFrame:
-    """df with __rid: the rank of each row in the order of the keys, which tell rows apart. Rows are dealt out by ranges of the keys; one count a range meets in one task."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id())
-    return _after(ranged.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*keys)) - 1), df.columns, first)
+    """df with __rid: the rank of each row in the order of the keys, where equal rows stand in any order. One shuffle, by ranges; df is run once."""
+    return after(placed(ranged(df, keys)), df.columns, first)
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +59,7 @@ def from_parquet(spark: SparkSession, path: str) -> DataFrame:
     source = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     if len(df.inputFiles()) <= 1:
         return source.select(F.col("__row").alias(RID), *df.columns)
-    return _after(source.withColumnsRenamed({"__file": "__part", "__row": "__at"}), df.columns, 0)
+    return after(source.withColumnsRenamed({"__file": "__part", "__row": "__at"}), df.columns)
 
 
 def bound(df: DataFrame, table: Table, first: int = 0) -> DataFrame:
