@@ -3,24 +3,28 @@
 Tokens of a line are ordered by rarity. Two lines of n and m tokens are alike if 100 * shared >= percent * union, so they share at
 least a = ceil(percent * (n + m) / (100 + percent)) tokens, and their first common token lies so early in both that
 enough tokens can follow (prefix and positional filters), in lines whose sizes are near (length filter). Rarity comes from a count sketch of fixed size: any one order gives exact results, so the sketch only
-decides how few candidates there are. Parity bitmaps bound the symmetric difference from below and drop nearly
+decides how few candidates there are. A bitmap of fixed size keeps prefix tokens that only one line has out of the join; where it is full it keeps
+nothing out, and results stay the same. Parity bitmaps bound the symmetric difference from below and drop nearly
 all other candidates in the join itself. The rest are verified on their words.
 
-Thousands of lines may be alike. So each line first meets the earliest line of the groups that its least and greatest hashes
+Thousands of lines may be alike. So each line with a prefix token that many lines have first meets the earliest line of the groups that its least and greatest words
 and its size make; lines that this removes ("closed") do not meet each other in the join, but all others do.
+
+Lines with the same set of words are found by hashes: of the whole ordered set (64 bits), of its rarest token (60 bits), and by the number of tokens.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import Scratch, clean_names, table
+from .util import Scratch, clean_names, fresh, table
 
 SKETCH = 1 << 17
-TURNS = 2
+#: Words of 64 bits in the bitmaps of prefix tokens.
+MAP = 1 << 17
+#: Lines with a prefix token from which it is common enough that they meet leaders first.
+COMMON = 512
 PERCENT = 80
 
 
@@ -37,20 +41,19 @@ def _plain(text: Column) -> Column:
     return out
 
 
-def _words(line: Column) -> Column:
-    """Hashes of the distinct words of a plain line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+def _whole(cells: DataFrame, size: int, value: str) -> DataFrame:
+    """One row with one array of `size` values: those of cells (at, and value as a bigint) in their places, 0 elsewhere."""
+    spark = cells.sparkSession
+    empty = spark.range(size).select(F.col("id").alias("at"), F.lit(0).cast("long").alias(value))
+    full = cells.select(F.col("at").cast("long").alias("at"), value).unionAll(empty).groupBy("at").agg(F.max(value).alias(value) if value == "n" else F.bit_or(value).alias(value))
+    return full.agg(F.sort_array(F.collect_list(F.struct("at", value))).alias("cells")).select(F.col(f"cells.{value}").alias(value))
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """One row: for each of SKETCH hash values, how many words of the texts fall on it. Its size is fixed."""
+    """One row: for each of SKETCH hash values, how many words of the texts fall on it, 43 bits up. Its size is fixed."""
     found = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = found.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).alias("at")).agg(F.count("*").alias("n"))
-    entry = F.struct(F.col("at").bitwiseAND(F.lit(1023)).cast("int").alias("k"), F.least("n", F.lit((1 << 20) - 1)).cast("int").alias("n"))
-    parts = counts.groupBy(F.shiftright("at", 10).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    full = parts.select("part", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("ns"))
-    whole = full.agg(F.map_from_entries(F.collect_list(F.struct("part", "ns"))).alias("m"))
-    return whole.select(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SKETCH // 1024 - 1)), lambda p: F.coalesce(F.try_element_at("m", p), F.array_repeat(F.lit(0), 1024)))).alias("sketch"))
+    return _whole(counts.select("at", F.shiftleft(F.least("n", F.lit((1 << 20) - 1)), 43).alias("n")), SKETCH, "n")
 
 
 def _parity(tokens: Column, half: int) -> Column:
@@ -63,6 +66,19 @@ def _parity(tokens: Column, half: int) -> Column:
     return F.aggregate(own, F.lit(0).cast("long"), flip)
 
 
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """One row with an array of MAP longs in which a bit is set for each key."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
+    cells = keys.groupBy(F.shiftright("key", 6).bitwiseAND(F.lit(MAP - 1)).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    return _whole(cells, MAP, "bits")
+
+
+def _in(bits: Column, key: Column) -> Column:
+    """Whether a bitmap may hold a key."""
+    word = F.get(bits, F.shiftright(key, 6).bitwiseAND(F.lit(MAP - 1)).cast("int"))
+    return F.call_function("shiftright", word, key.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, mark and the array `later` of the line numbers that go, for documents that lose lines.
 
@@ -73,15 +89,16 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None
     texts = clean_names(docs, ["doc_id", "text"]).where(c("text").isNotNull())
     sketch = scratch.stage(_sketch(texts), "sketch").scalar()
 
+    each = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split(_plain(c("text")), "\n")).alias("line_no", "line"))  # a line's row holds neither the text nor the other lines
+    # The words come out of a generator, and the sketch is used in one place: so Spark makes the words once and puts the sketch's one value into
+    # the expression. As a column, it would be copied for each line.
+    each = each.select("doc_id", "mark", "line_no", F.explode(F.array(F.array_remove(F.split("line", " "), ""))).alias("ws"))
+    token = lambda w: F.get("counts", F.xxhash64(w).bitwiseAND(F.lit(SKETCH - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 21))
     # a token: its count above 43 bits of its hash; the 17 bits that chose the count are not among them
-    token = lambda h: F.shiftleft(F.get("counts", h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))
-    each = texts.select("doc_id", F.xxhash64("text").alias("mark"), F.split(_plain(c("text")), "\n").alias("lines"))
-    each = each.select("doc_id", "mark", F.posexplode("lines").alias("line_no", "line"))  # a line's row holds neither the text nor the other lines
-    each = each.select("doc_id", "mark", "line_no", "line", sketch.alias("counts"))  # used once, so that Spark puts the one value into the next step
-    # no filter on n here: it would be moved below, and the words would be made twice
-    hashed = each.select("doc_id", "mark", "line_no", "counts", _words(c("line")).alias("hs"))
-    # no filter on n here: it would be moved below, and the words would be made twice
-    each = hashed.select("doc_id", "mark", "line_no", F.array_min("hs").alias("low"), F.array_max("hs").alias("high"), F.sort_array(F.transform("hs", token)).alias("ts")).withColumn("n", F.size("ts"))
+    each = each.select("doc_id", "mark", "line_no", "ws", sketch.alias("counts"))
+    each = each.select("doc_id", "mark", "line_no", F.xxhash64(F.array_min("ws")).alias("low"), F.xxhash64(F.array_max("ws")).alias("high"), F.sort_array(F.array_distinct(F.transform("ws", token))).alias("ts"))
+    # no filter on n here: it would be moved below, and the tokens would be made twice
+    each = each.withColumn("n", F.size("ts"))
     low = F.ceil(c("n") * percent / 100).cast("int")
     longest = c("n") - _needed(c("n"), low, percent) + 1
     at = F.struct(c("doc_id").isNull().alias("no_id"), "doc_id", "mark", "line_no").alias("at")
@@ -95,41 +112,50 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None
     copies = scratch.stage(each.select("k0", "k1", "at").join(again, ["k0", "k1"]).where(c("at") > c("first")).select("at"), "copies")
     scratch.drop("each")
 
+    # prefix tokens of two lines at least, and those of many
+    held = scratch.stage(sets.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"), "held")
+    shared = scratch.stage(_bitmap(held), "shared").scalar()
+    common = scratch.stage(_bitmap(held.where(c("lines") >= COMMON)), "common").scalar()
+    scratch.drop("held")
+
     need = _needed(c("n"), c("pn"), percent)
     x0, x1 = c("b0").bitwiseXOR(c("p0")), c("b1").bitwiseXOR(c("p1"))
     # beyond 64 tokens, b0 and b1 hold one half of them each; up to there, b0 holds all
     apart = F.when((c("n") > 64) == (c("pn") > 64), F.bit_count(x0) + F.bit_count(x1)).otherwise(F.bit_count(x0.bitwiseXOR(c("b1")).bitwiseXOR(c("p1"))))
     may = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (apart <= c("n") + c("pn") - need * 2)
 
-    # leaders: each line against the earliest of its groups
+    # leaders: each line with a common token against the earliest of its groups
     group = F.explode(F.array(F.xxhash64("low", "high"), F.xxhash64("n", "low"), F.xxhash64("n", "high"))).alias("g")
-    grouped = sets.select("id", "at", "n", "b0", "b1", group)
+    dense = sets.select("id", "at", "n", "b0", "b1", "low", "high", "prefix", common.alias("common")).where(F.exists("prefix", lambda t: _in(c("common"), t)))
+    grouped = dense.select("id", "at", "n", "b0", "b1", group)
     leaders = grouped.groupBy("g").agg(F.min(F.struct("at", "id", "n", "b0", "b1")).alias("l"), F.count("*").alias("m")).where("m > 1")
     leaders = leaders.select("g", c("l.at").alias("pat"), c("l.id").alias("pid"), c("l.n").alias("pn"), c("l.b0").alias("p0"), c("l.b1").alias("p1"))
     led = scratch.stage(grouped.join(leaders, "g").where((c("at") > c("pat")) & may).select("id", "pid").distinct(), "led")
     closed = scratch.stage(_confirmed(texts, sets, led, percent, scratch, "led_words").select("id", "at").distinct(), "closed")
 
-    def keys(size: Column, turn: int) -> Column:
-        each_ = F.transform(F.slice("prefix", F.lit(1), size), lambda t, i: F.struct(t.alias("key"), i.cast("short").alias("i")))
-        return F.filter(each_, lambda k: k["key"].bitwiseAND(F.lit(TURNS - 1)) == turn)
+    def keys(size: Column) -> Column:
+        """The first tokens and their places: without those that no other line has in its prefix."""
+        return F.posexplode(F.slice("prefix", F.lit(1), size))
 
     # an open line is indexed for open and for closed ones, a closed line for open ones alone
     flagged = sets.select("id", "n", "b0", "b1", "prefix").join(closed.select("id", F.lit(1).alias("shut")), "id", "left").withColumn("shut", F.coalesce("shut", F.lit(0)))
     flagged = scratch.stage(flagged, "flagged")
+    met = scratch.stage(_bitmap(flagged.where("shut = 1").select(F.explode("prefix").alias("key"))), "met").scalar()
     near = ((c("n") < c("pn")) | ((c("n") == c("pn")) & (c("id") < c("pid")))) & may & (F.least(c("pn") - c("pi"), c("n") - c("i")) >= need)
-    turns = []
-    for turn in range(TURNS):  # a part of the tokens at a time, so that a turn's shuffle files go before the next
-        index = flagged.select("id", "n", "b0", "b1", "shut", F.inline(keys(c("n") - _needed(c("n"), c("n"), percent) + 1, turn)).alias("key", "i"))
-        index = index.select("id", "n", "b0", "b1", "key", "i", F.explode(F.when(c("shut") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("shut"))
-        probe = flagged.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), "shut", F.inline(keys(longest, turn)).alias("key", "pi"))
-        turns.append(scratch.stage(probe.join(index, ["key", "shut"]).where(near).select("id", "pid").distinct(), f"pairs{turn}"))
-    pairs = scratch.stage(reduce(DataFrame.union, turns).distinct(), "pairs")
+    live = lambda df: df.select("*", shared.alias("shared")).where(_in(c("shared"), c("key"))).drop("shared")
+    index = live(flagged.select("id", "n", "b0", "b1", "shut", keys(c("n") - _needed(c("n"), c("n"), percent) + 1).alias("i", "key")))
+    for_open, for_shut = F.xxhash64("key", F.lit(0)), F.xxhash64("key", F.lit(1))
+    twice = (c("shut") == 0) & _in(c("met"), c("key"))  # a closed line has the token
+    index = index.select("*", met.alias("met")).select("id", "n", "b0", "b1", "i", F.explode(F.when(twice, F.array(for_open, for_shut)).otherwise(F.array(for_open))).alias("key"))
+    probe = live(flagged.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), "shut", keys(longest).alias("pi", "key")))
+    probe = probe.select("pid", "pn", "p0", "p1", "pi", F.xxhash64("key", "shut").alias("key"))
+    pairs = scratch.stage(probe.join(index, "key").where(near).select("id", "pid").distinct(), "pairs")
     unlike_first = _confirmed(texts, sets, pairs, percent, scratch, "words").select(F.greatest("at", "pat").alias("at")).distinct()
 
     gone = copies.union(closed.select("at")).union(unlike_first).select("at.doc_id", "at.mark", "at.line_no")
     gone = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("later"))
     gone = scratch.stage(gone, "later")
-    scratch.drop("sets", "led", "closed", "flagged", "pairs", "led_words", "words", "copies", *[f"pairs{t}" for t in range(TURNS)])
+    scratch.drop("sets", "led", "closed", "flagged", "pairs", "led_words", "words", "copies", "sketch", "shared", "common", "met")
     return gone
 
 
@@ -153,7 +179,7 @@ def decide(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, n_lines, n_removed, and removed (the numbers, from 0, of its lines that go, with commas).
 
     Lines without a word stay. Null or empty text: no line goes. Rows that repeat doc_id and text share their decisions
-    and do not remove each other's lines; documents without id come after all others. Empty table: no rows.
+    and do not remove each other's lines; documents without id come after all others. Empty table: no rows. Other columns are not read.
     """
     gone = later_lines(docs, percent).withColumnsRenamed({"doc_id": "gone_doc", "mark": "gone_mark"})
     base = clean_names(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
@@ -165,15 +191,18 @@ def decide(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without the lines that go; n_chars, where there is such a column, follows the text.
 
-    A document that loses every line with a word goes; one that had none stays.
+    A document that loses every line with a word goes; one that had none stays. Null and empty texts stay as they are; rows that repeat
+    doc_id and text lose the same lines; documents without id come after all others. Empty table: no rows. All columns are kept, whatever their names.
     """
-    gone = later_lines(docs, percent).withColumnsRenamed({"doc_id": "gone_doc", "mark": "gone_mark"})
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_doc")) & (F.xxhash64(docs["text"]) == F.col("gone_mark")), "left")
-    left = F.filter(F.split(docs["text"], "\n"), lambda l, i: ~F.array_contains("later", i))
-    text = F.when(F.col("later").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    kept = both.where(F.col("later").isNull() | text.rlike("[^\\x20\\x09-\\x0D]"))
-    return kept.select(*[(new[n].alias(n) if n in new and (n != "n_chars") else F.when(F.col("later").isNull(), docs[n]).otherwise(new[n]).alias(n) if n == "n_chars" else docs[n]) for n in docs.columns])
+    later, doc, mark = fresh(docs, "later", "gone_doc", "gone_mark")
+    gone = later_lines(docs, percent).withColumnsRenamed({"doc_id": doc, "mark": mark, "later": later})
+    both = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(mark)), "left")
+    left = F.filter(F.split(docs["text"], "\n"), lambda l, i: ~F.array_contains(later, i))
+    whole = F.col(later).isNull()
+    text = F.when(whole, docs["text"]).otherwise(F.array_join(left, "\n"))
+    new = {"text": text} | ({"n_chars": F.when(whole, docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    kept = both.where(whole | text.rlike("[^\\x20\\x09-\\x0D]"))
+    return kept.select(*[new[n].alias(n) if n in new else docs[n] for n in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
