@@ -40,10 +40,12 @@ class Scratch:
         self.spark, self.at = spark, f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+        """df as a table of that name. tidy: the shuffle files of earlier steps go at once, which takes a moment; steps that shuffle little need not ask for it."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.at}/{name}")
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files once nothing refers to them
+        if tidy:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files once nothing refers to them
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
