@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import _BLANK, _LOWER, mix
-from .util import clean_names, table, text_bytes, text_slices
+from .util import clean_names, fresh, table, text_bytes, text_slices
 
 SEED = 8
 #: Bytes of item text that one pass over the documents looks for.
 BLOCK_BYTES = 4 << 20
 FOUND = "doc_id long, item_id long, distance int, start_byte long, end_byte long"
+#: With a hash of the text in which the item was found.
+MARKED = FOUND + ", mark long"
 
 
 def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,10 +227,15 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float
 
     Offsets are bytes of the text in UTF-8. Null or blank texts and items match nothing; null doc_id or item_id: ignored. Items under 16 bytes
     are found only as they are. A repeated item_id counts once, with the least text; rows that repeat a doc_id give a row each, but for equal rows.
-    The benchmark is looked for in blocks of BLOCK_BYTES, so that it may be of any size.
+    Empty tables: no rows. Other columns are not read. The benchmark is looked for in blocks of BLOCK_BYTES, so that it may be of any size.
     """
+    return _found(docs, benchmark, rate, recall).where("doc_id is not null").drop("mark").distinct()
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float = 0.999) -> DataFrame:
+    """find() with `mark`, for rows without id too."""
     spark = docs.sparkSession
-    source = clean_names(docs, ["doc_id", "text"]).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = clean_names(docs, ["doc_id", "text"]).where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     listed = clean_names(benchmark, ["item_id", "text"]).where(F.col("item_id").isNotNull() & F.col("text").rlike("[^\\x20\\x09-\\x0D]")).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
 
     def passed(items: Items) -> DataFrame:
@@ -236,7 +243,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float
             for batch in text_slices(batches, most=2 << 20):
                 raw, offsets = text_bytes(batch.column("text"))
                 b, at, origin = normal(raw, offsets)
-                ids, out = batch.column("doc_id").to_numpy(), []
+                ids, out = list(range(batch.num_rows)), []
                 found = _windows(b, at, items)
                 spots = []
                 for d, i, s in found:
@@ -263,9 +270,10 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float
                     if (key := row[:2]) not in best or row[2:] < best[key][2:]:
                         best[key] = row
                 if best:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*best.values(), strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "start_byte", "end_byte"])
+                    row, *rest = [pa.array(c, t) for c, t in zip(zip(*best.values(), strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), *rest, batch.column("mark").take(row)], names=["doc_id", "item_id", "distance", "start_byte", "end_byte", "mark"])
 
-        return source.mapInArrow(run, FOUND)
+        return source.mapInArrow(run, MARKED)
 
     out, ids, texts, size = None, [], [], 0
     for row in listed.orderBy("item_id").toLocalIterator():
@@ -278,15 +286,19 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: float
             part = passed(Items(ids, texts, rate, recall))
             out, ids, texts, size = (part if out is None else out.union(part)), [], [], 0
     if ids or out is None:
-        part = passed(Items(ids, texts, rate, recall)) if ids else spark.createDataFrame([], FOUND)
+        part = passed(Items(ids, texts, rate, recall)) if ids else spark.createDataFrame([], MARKED)
         out = part if out is None else out.union(part)
-    return out.distinct()
+    return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item is found."""
-    gone = find(docs, benchmark).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """The documents in which no item is found; each row is judged by its own text, whatever ids repeat.
+
+    Null and empty texts, and all documents where the benchmark is empty, stay. Rows without id are judged like others. Empty table: no rows. All columns are kept, whatever their names.
+    """
+    gone_id, gone_mark = fresh(docs, "gone_id", "gone_mark")
+    gone = _found(docs, benchmark).select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_mark)), "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

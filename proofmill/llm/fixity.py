@@ -2,12 +2,13 @@
 
 1. Pages are laid out in archives of a fixed number of records, each with its offset and length in bytes.
 2. Each record has a leaf hash. Leaves are hashed by ranges of offsets, ranges by larger ranges up to the archive, and archives by groups up
-   to one root: a tree for each replica.
-3. The roots are compared; below a pair of nodes that differ, and only there, the children are compared, down to records.
+   to one root. Each replica has a tree of its own, made from its own manifest alone; only the shape of both must be agreed on.
+3. The roots are compared; below a pair of nodes that differ, and only there, the children are compared, down to records. Equal roots end the audit.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ PER_ARCHIVE = 256
 RANGE, FAN = 1 << 16, 16
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
-READ = "archive string, offset long, length long, warc_type string, record_id string, target_uri string, body binary, whole boolean"
+READ = "archive string, offset long, length long, warc_type string, record_id string, target_uri string, body binary, whole boolean, digest string"
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -94,14 +95,15 @@ def split_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the uncompressed WARC files under path: READ. An archive is read whole, so it must fit in a task (2 GB at most)."""
+    """A row for each record of the uncompressed WARC files under path: READ. The digest is that of the record without its closing line ends, as in layout(); of
+    a damaged record, that of all its bytes. An archive is read whole, so it must fit in a task (2 GB at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for offset, length, fields, body, whole in split_records(data.as_py()):
-                    rows.append((name, offset, length, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), body, whole))
+                rows, raw = [], data.as_py()
+                for offset, length, fields, body, whole in split_records(raw):
+                    rows.append((name, offset, length, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), body, whole, hashlib.sha256(raw[offset : offset + length - len(END)] if whole else raw[offset : offset + length]).hexdigest()))
                     if len(rows) == 256:
                         yield _batch(rows)
                         rows = []
@@ -113,13 +115,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "offset", "length", "warc_type", "record_id", "target_uri", "body", "whole"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "offset", "length", "warc_type", "record_id", "target_uri", "body", "whole", "digest"])
 
 
 def manifest_of(archives: DataFrame) -> DataFrame:
-    """archive, offset, length and digest of records read by read_archives()."""
-    return archives.select("archive", "offset", "length", F.sha2("body", 256).alias("digest"))
+    """archive, offset, length and digest of records read by read_archives(), as layout() has them. The archive's number is that of its folder archive=N, or a hash of its path."""
+    number = F.regexp_extract("archive", "archive=([0-9]+)", 1)
+    return archives.select(F.when(number != "", number.cast("long")).otherwise(F.xxhash64("archive")).alias("archive"), "offset", "length", "digest")
 
 
 def levels(archives: int, size: int) -> list[tuple[int, int]]:
@@ -142,20 +145,52 @@ def _at(level: tuple[int, int]) -> list[Column]:
     return [(F.floor(F.col("archive") / group) * group).cast("long").alias("archive"), range_.cast("long").alias("offset")]
 
 
-def trees(left: DataFrame, right: DataFrame, shape: list[tuple[int, int]], scratch: Scratch) -> list[DataFrame]:
-    """Nodes of both replicas' trees by level, records first: archive and offset (the first below the node), and its hash on either side, lh and rh (null: the side has no such node)."""
-    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
+def tree(manifest: DataFrame, shape: list[tuple[int, int]], scratch: Scratch, name: str) -> list[DataFrame]:
+    """The nodes of one replica's tree by level, records first, each a table: archive and offset (the first below the node) and its hash.
+
+    Rows that repeat a place are one leaf, whose hash comes from the least and the greatest of them and their number.
+    """
     at = ["archive", "offset"]
-    out = [scratch.stage(left.select(*at, leaf.alias("lh")).join(right.select(*at, leaf.alias("rh")), at, "full"), "nodes")]
-    for k, level in enumerate(shape):
-        child = lambda h: F.when(F.col(h).isNotNull(), F.struct("archive", "offset", F.col(h).alias("h")))
-        below = out[-1].withColumns({"l": child("lh"), "r": child("rh")}).select(*_at(level), "l", "r")
-        grouped = below.groupBy(*at).agg(F.array_sort(F.collect_list("l")).alias("ls"), F.array_sort(F.collect_list("r")).alias("rs"))
-        hashed = lambda cs: F.when(F.size(cs) > 0, F.sha2(F.array_join(F.transform(cs, lambda x: F.concat_ws(":", x["archive"], x["offset"], x["h"])), "\n"), 256))
-        out.append(scratch.stage(grouped.select(*at, hashed("ls").alias("lh"), hashed("rs").alias("rh")), f"nodes_{k}"))
+    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
+    leaves = manifest.select(*at, leaf.alias("h")).groupBy(*at).agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n"))
+    out = [scratch.stage(leaves.select(*at, F.when(F.col("n") == 1, F.col("a")).otherwise(F.sha2(F.concat_ws(":", "a", "b", "n"), 256)).alias("h")), f"{name}_0")]
+    for k, level in enumerate(shape, 1):
+        below = out[-1].select(*_at(level), F.struct("archive", "offset", "h").alias("child"))
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list("child")), lambda x: F.concat_ws(":", x["archive"], x["offset"], x["h"])), "\n")
+        out.append(scratch.stage(below.groupBy(*at).agg(F.sha2(whole, 256).alias("h")), f"{name}_{k}", tidy=False))
     return out
 
 
+def descend(left: list[DataFrame], right: list[DataFrame], shape: list[tuple[int, int]], scratch: Scratch) -> tuple[DataFrame, list[int]]:
+    """archive and offset of the records in which two trees of one shape differ, and how many pairs of nodes were compared at each level, from the roots on."""
+    c, at = F.col, ["archive", "offset"]
+    seen: list[int] = []
+    bad = None
+    for k in range(len(shape), -1, -1):
+        sides = []
+        for nodes, h in ((left[k], "lh"), (right[k], "rh")):
+            here = nodes.select(*at, c("h").alias(h))
+            if bad is not None:
+                a, o = _at(shape[k])
+                far = bad.agg(F.min("archive"), F.max("archive")).first()
+                group = shape[k][0]
+                here = here.where((c("archive") >= far[0]) & (c("archive") < far[1] + group)).withColumns({"na": a, "no": o})  # the bounds reach the scan
+                here = here.join(bad.select(c("archive").alias("pa"), c("offset").alias("po")), (c("na") == c("pa")) & (c("no") == c("po")), "left_semi").select(*at, h)
+            sides.append(here)
+        both = scratch.stage(sides[0].join(sides[1], at, "full"), f"compared_{k}", tidy=False)
+        seen.append(both.count())
+        bad = both.where(~c("lh").eqNullSafe(c("rh"))).select(*at)
+        if bad.isEmpty():
+            break
+    return bad, seen
+
+
+def shape_of(*manifests: DataFrame) -> list[tuple[int, int]]:
+    """The shape that trees of all these manifests can have."""
+    far = [m.agg(F.max("archive").alias("a"), F.max("offset").alias("o")).first() for m in manifests]
+    return levels(max([f["a"] or 0 for f in far]) + 1, max([f["o"] or 0 for f in far]) + 1)
+
+
 def audit(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     """A row for each record in which two manifests (archive long, offset, length, digest, and others in left) differ.
 
@@ -165,17 +200,8 @@ def audit(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     """
     c, at = F.col, ["archive", "offset"]
     left, right = (m.where(c("archive").isNotNull() & c("offset").isNotNull()) for m in (left, right))
-    far = left.select(*at).union(right.select(*at)).agg(F.max("archive").alias("a"), F.max("offset").alias("o")).first()
-    shape = levels((far["a"] or 0) + 1, (far["o"] or 0) + 1)
-    nodes = trees(left, right, shape, scratch)
-    apart = ~c("lh").eqNullSafe(c("rh"))
-    bad = nodes[-1].where(apart).select(*at)
-    for k in range(len(shape) - 1, -1, -1):
-        a, o = _at(shape[k])
-        parent = bad.select(c("archive").alias("pa"), c("offset").alias("po"))
-        below = nodes[k].withColumns({"na": a, "no": o}).join(parent, (c("na") == c("pa")) & (c("no") == c("po")), "left_semi")
-        bad = below.where(apart).select(*at)
-    bad = scratch.stage(bad, "bad")
+    shape = shape_of(left, right)
+    bad, _ = descend(tree(left, shape, scratch, "left_tree"), tree(right, shape, scratch, "right_tree"), shape, scratch)
     wrong = bad.join(left, at, "left").join(right.select(*at, c("length").alias("replica_length"), c("digest").alias("replica_digest")), at, "left")
     wrong = scratch.stage(wrong, "wrong")
     there = wrong.where("replica_digest is not null").groupBy("archive", c("replica_digest").alias("digest")).agg(F.min("offset").alias("moved_to"))

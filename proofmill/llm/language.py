@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .linear import fit
 from .quality import held_out
-from .util import clean_names, table, text_bytes, text_slices
+from .util import clean_names, fresh, table, text_bytes, text_slices
 
 SIZE = 4096
 #: Rows of each language that are learned from, at most.
@@ -116,7 +116,7 @@ def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, modulus: int = 4, rema
 
 
 def predict(docs: DataFrame, model: Codes | None, unclear: float = 0.5) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous and `lettered` for each document; see identify()."""
+    """doc_id, mark (a hash of the text), lang_pred, score, ambiguous and `lettered` for each document; see identify()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, most=1 << 20):
@@ -134,10 +134,10 @@ def predict(docs: DataFrame, model: Codes | None, unclear: float = 0.5) -> DataF
                     pred[rows] = np.array(model.languages, object)[p.argmax(1)]
                     score[rows], unsure[rows] = p.max(1), p.max(1) < unclear
                 pred[~known], score[~known], unsure[~known] = "und", 0.0, True
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(unsure), pa.array(known)], names=["doc_id", "lang_pred", "score", "ambiguous", "lettered"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(unsure), pa.array(known)], names=["doc_id", "mark", "lang_pred", "score", "ambiguous", "lettered"])
 
-    base = clean_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean, lettered boolean")
+    base = clean_names(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return base.mapInArrow(run, "doc_id long, mark long, lang_pred string, score double, ambiguous boolean, lettered boolean")
 
 
 def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
@@ -151,14 +151,16 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents with a letter whose language is clear; where no language could be learned, all with a letter."""
+    """The documents with a letter whose language is clear; where no language could be learned, all with a letter.
+
+    Null, empty and letterless texts go. Each row is judged by its own text, whatever ids repeat; rows without id are judged like others.
+    Empty table: no rows. All columns are kept, whatever their names.
+    """
     model = learn(docs)
-    out = predict(docs, model)
-    bad = out.where(~F.col("lettered") | (F.col("ambiguous") if model is not None else F.lit(False)))
-    gone = bad.select(F.col("doc_id").alias("gone_id")).distinct()
-    blank = F.col("text").isNull() | ~F.col("text").rlike("\\p{L}")
-    kept = docs.where(~blank)
-    return kept.join(gone, kept["doc_id"] == F.col("gone_id"), "left_anti")
+    gone_id, gone_mark = fresh(docs, "gone_id", "gone_mark")
+    bad = predict(docs, model).where(~F.col("lettered") | (F.col("ambiguous") if model is not None else F.lit(False)))
+    gone = bad.select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    return docs.where(docs["text"].isNotNull()).join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_mark)), "left_anti")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, runs, word_hashes
-from .util import Scratch, clean_names, table, text_bytes, text_slices
+from .util import Scratch, clean_names, fresh, table, text_bytes, text_slices
 
 HASHES, BATCH = 125, 25
 #: Signatures of members that meet outside their components are compared on more hashes: many such pairs lie just below the threshold.
@@ -255,7 +255,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     A document's set holds its distinct k-word shingles, lower-cased by A-Z; with fewer words, the whole sequence as one.
     Links join sets with 100 * shared >= percent * union. Null or blank text: no shingles, linked with nothing.
     Rows that repeat a doc_id are one document as far as links go. Null doc_id: n_shingles alone counts, component_id is null and kept true.
+    Empty table: no rows. Other columns are not read.
     """
+    return _groups(docs, k, percent).drop("mark")
+
+
+def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_groups() with a hash of each row's text as `mark`."""
     spark, c = docs.sparkSession, F.col
     scratch = Scratch(spark)
     each = scratch.stage(sketch(docs, k, percent), "each")
@@ -278,15 +284,32 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").where((c("copies") > 1) | c("component").isNotNull()).select("f0", "f1", F.coalesce("component", "id").alias("component"))
     named = scratch.stage(named, "named")
     scratch.drop("classes", "rows", "ends", "shared", "first", "likely1", "inner", "members", "first_texts", "members_texts")
-    out = each.select("doc_id", "n", "f0", "f1").join(named, ["f0", "f1"], "left")
+    out = each.select("doc_id", "mark", "n", "f0", "f1").join(named, ["f0", "f1"], "left")
     component = F.when(c("n") > 0, F.coalesce("component", "doc_id")).otherwise(c("doc_id"))
-    return out.select("doc_id", c("n").alias("n_shingles"), F.when(c("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(c("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", c("n").alias("n_shingles"), F.when(c("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(c("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are near-duplicates of one with a smaller id in their group."""
-    gone = near_groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """One document of each group of near-duplicates: that with the smallest id, of rows that repeat this id that with the least hash of its text, and one of its rows.
+
+    Documents without a word (null, empty or blank text) and rows without id all stay, repeated or not. Empty table: no rows. All columns are kept, whatever their names.
+    """
+    c = F.col
+    found = Scratch(docs.sparkSession).stage(_groups(docs, k, percent).where("n_shingles > 0 and doc_id is not null"), "decided")
+    # a row for each document and text; where an id repeats, only one text of its group stays
+    texts = found.groupBy("doc_id", "mark").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    chosen = texts.where(c("doc_id") == c("component_id")).groupBy("component_id").agg(F.min("mark").alias("chosen"))
+    later = texts.join(chosen, "component_id", "left").where((c("doc_id") != c("component_id")) | (c("mark") != c("chosen")))
+    gone_id, gone_mark = fresh(docs, "gone_id", "gone_mark")
+    gone = later.select(c("doc_id").alias(gone_id), c("mark").alias(gone_mark))
+    same = lambda df, a, b: (df["doc_id"].cast("long") == c(a)) & (F.xxhash64(df["text"]) == c(b))
+    kept = docs.join(gone, same(docs, gone_id, gone_mark), "left_anti")
+    again = texts.where("n > 1").select(c("doc_id").alias(gone_id), c("mark").alias(gone_mark))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same(kept, gone_id, gone_mark), "left_anti")
+    copies = kept.join(again, same(kept, gone_id, gone_mark)).dropDuplicates([gone_id, gone_mark])
+    return once.unionByName(copies.select(*[copies[n] for n in docs.columns]))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

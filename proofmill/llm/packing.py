@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .util import Scratch, clean_names, partitions, table
 
 END = 0  # the id that closes a document
+#: Parts of one length's pieces, at most: so the counts by length and part are at most `size` times as many rows.
+SALTS = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, size: int = 1024, vocabulary: str | None = None) -> Da
     vocabulary = vocabulary or default_vocabulary()
     pieces = scratch.stage(cut(docs, size, vocabulary), "pieces")
     # ranks within a length: salted, since one length may hold a large part of all pieces
-    salts = max(partitions(spark), 2)
+    salts = min(max(partitions(spark), 2), SALTS)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     each = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -101,7 +101,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     A document's edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the
     next document by ascending doc_id (after the last: the first). n_within counts, for documents whose id is divisible
     by 50, the documents within the radius, the document itself included; it is null for others.
-    Null text: empty. Null doc_id: no next document, so that the edited text only loses its end, and near_next is null.
+    Null text: empty. Null doc_id: no next document, so that the edited text only loses its end, and near_next is null. Empty table: no rows. Other columns are not read.
     Rows that repeat a doc_id are fingerprinted each; as a next document, the least of their texts counts.
     """
     spark = docs.sparkSession
@@ -113,13 +113,16 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     heads = known.join(ahead.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "need"), "doc_id").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, cast(need as int))").alias("head"))
     heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
     both = known.join(heads, "doc_id", "left").unionByName(base.where(F.col("doc_id").isNull()).withColumn("head", F.lit(None).cast("string")))
+    # rows are numbered once and written: a task that ran again could number them otherwise, and the votes of two documents would be mixed
+    both = scratch.stage(both.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "head"), "rows")
     n = F.length("text")
-    both = both.select(F.monotonically_increasing_id().alias("row"), "doc_id", n.cast("long").alias("n_chars"), "text", F.expr("concat(substring(text, 1, cast(length(text) - length(text) div 4 as int)), coalesce(substring(head, 1, cast(length(text) div 4 as int)), ''))").alias("edited"))
+    both = both.select("row", "doc_id", n.cast("long").alias("n_chars"), "text", F.expr("concat(substring(text, 1, cast(length(text) - length(text) div 4 as int)), coalesce(substring(head, 1, cast(length(text) div 4 as int)), ''))").alias("edited"))
     kinds = both.select("row", "doc_id", "n_chars", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))))
     fps = fingerprints(kinds, ["row", "doc_id", "n_chars", "kind", "sha"])
     pick = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     fps = fps.groupBy("row", "doc_id", "n_chars").agg(pick("sha", 1).alias("edited_sha256"), pick("f0", 0).alias("f0"), pick("f1", 0).alias("f1"), pick("f0", 1).alias("e0"), pick("f1", 1).alias("e1"))
     fps = scratch.stage(fps.drop("row"), "fingerprints")
+    scratch.drop("rows", "ranges")
     nexts = fps.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by(F.struct("f0", "f1"), F.struct("f0", "f1")).alias("n"))
     nexts = ahead.select("doc_id", "next_id").join(nexts, "next_id").select("doc_id", F.col("n.f0").alias("n0"), F.col("n.f1").alias("n1"))
     queries = fps.where(F.col("doc_id") % 50 == 0)

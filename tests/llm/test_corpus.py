@@ -43,6 +43,8 @@ def copies():
     return out + [None, "", "  \t\n ", "one", "ONE", "one two", "word " * 300, "word " * 301, prose(5000), base[2].upper()]
 
 
+#: Names that operators use within.
+ODD_COLUMNS = ", id bigint, mark string, key string, n bigint" + "".join(f", {x} int" for x in ("later", "gone_id", "gone_doc", "gone_mark", "spans", "cut_id", "cut_mark", "row"))
 ODD = [None, "", " ", "\n\n", "x", "é" * 5, "a\x00b", "line\nline\nline", "🙂 🙂 🙂", "word " * 20000]
 
 
@@ -50,12 +52,13 @@ ODD = [None, "", " ", "\n\n", "x", "é" * 5, "a\x00b", "line\nline\nline", "🙂
 def odd(spark):
     """Odd texts, null and repeated ids, repeated rows, and columns with clashing names."""
     rows = [(None if k == 4 else k % 8, t, None if k % 3 else "en", None, None, 1, "x", "y", 2) for k, t in enumerate(ODD)]
-    return spark.createDataFrame([*rows, rows[1], rows[5]], DOCS + ", id bigint, mark string, key string, n bigint")
+    rows = [(*r, *[3] * 8) for r in rows]
+    return spark.createDataFrame([*rows, rows[1], rows[5]], DOCS + ODD_COLUMNS)
 
 
 @pytest.fixture(scope="module")
 def none(spark):
-    return spark.createDataFrame([], DOCS)
+    return spark.createDataFrame([], DOCS + ODD_COLUMNS)
 
 
 @pytest.fixture(scope="module")
@@ -367,7 +370,7 @@ def test_op8_sql(spark):
 RUNS = {
     "packing": lambda d, lab: packing.pack(d), "near": lambda d, lab: near.near_groups(d), "keep_one": lambda d, lab: near.keep_one(d), "lines": lambda d, lab: lines.decide(d), "dedup": lambda d, lab: lines.dedup(d),
     "items": lambda d, lab: decontaminate.find(d, d.select(F.col("doc_id").alias("item_id"), "text")), "passages": lambda d, lab: passages.repeated(d), "without": lambda d, lab: passages.without(d),
-    "fingerprints": lambda d, lab: simhash.fingerprint_documents(d), "language": lambda d, lab: language.identify(d), "keep_known": lambda d, lab: language.keep_known(d), "quality": lambda d, lab: quality.score(d, lab),
+    "fingerprints": lambda d, lab: simhash.fingerprint_documents(d), "language": lambda d, lab: language.identify(d), "keep_known": lambda d, lab: language.keep_known(d), "keep_clean": lambda d, lab: decontaminate.keep_clean(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id = 1")), "quality": lambda d, lab: quality.score(d, lab),
     "toxicity": lambda d, lab: toxicity.classify(d, lab), "fixity": lambda d, lab: fixity.compare(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "key")),
 }
 #: Rows for each document, whatever its text.
