@@ -48,6 +48,8 @@ def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def edits(item: bytes, text: bytes) -> tuple[int, int]:
     """Least edits between the item and any part of the text, and the first end of such a part. Bit-parallel over the item."""
+    if (whole := text.find(item)) >= 0:
+        return 0, whole + len(item)
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
     peq: dict[int, int] = {}
