@@ -13,27 +13,27 @@ from proofmill.llm.util import Scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear."""
+    """Documents whose language is clear. Null, empty and letterless texts go; each row is judged by its own text, whatever ids repeat. Empty table: no rows."""
     return keep_known(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones."""
+    """Documents without lines that repeat earlier ones; those that lose every line with a word go. Rows that repeat id and text lose the same lines. Empty table: no rows."""
     return dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates; those without a word or an id all stay. Empty table: no rows."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; each row is judged by its own text. Null and empty texts stay. Empty table: no rows; empty benchmark: all rows."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, each with its place in a sequence."""
+    """Pieces of all documents, each with its place in a sequence. Null and empty texts are one piece, the closing id. Empty table: no rows."""
     return pack(docs)
 
 

@@ -18,6 +18,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="proofmill", description=__doc__)
     p.add_argument("inputs", nargs="+", help="source files; the first may be a dumped program (*.program)")
     p.add_argument("--parquet-output-directory")
+    p.add_argument("--python-output-file", help="a typed module that reads the Parquet output")
     p.add_argument("--json-output-directory")
     p.add_argument("--sqlite-output-file")
     p.add_argument("--replacements-file")
@@ -45,6 +46,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         db.write_sources()
     if args.parquet_output_directory:
         db.write_parquet(args.parquet_output_directory)
+    if args.python_output_file:
+        db.write_module(args.python_output_file)
     if args.json_output_directory:
         db.write_json(args.json_output_directory)
     if args.sqlite_output_file:

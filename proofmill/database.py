@@ -22,7 +22,7 @@ from .plans import errors as e
 from .plans.catalog import RID, Catalog, Table
 from .plans.ir import Program
 from .plans.parser import load_file, parse_text
-from .sinks import report, sources as source_sink, stores
+from .sinks import report, sources as source_sink, stores, typed
 from .sources import modules, scripts, tables
 from .sources.literals import Loader, check_exclusive
 
@@ -122,8 +122,12 @@ class Database:
     def write_json(self, folder: str) -> None:
         report.write_json(self.catalog, self.frames, folder)
 
-    def write_parquet(self, folder: str, pointers: bool = True) -> None:
-        stores.write_parquet(self.catalog, self.frames, folder, pointers)
+    def write_parquet(self, folder: str, pointers: bool = True) -> list[str]:
+        return stores.write_parquet(self.catalog, self.frames, folder, pointers)
+
+    def write_module(self, path: str) -> bool:
+        """A typed Python module that reads what write_parquet() writes."""
+        return typed.write_module(self.catalog, path)
 
     def write_sqlite(self, path: str) -> None:
         stores.write_sqlite(self.catalog, self.frames, path)

@@ -1,4 +1,4 @@
-"""The operators over the test tables, each over whole tables, and the same in SQL."""
+"""The operators over the test tables, each over whole tables, and the same in SQL. Whole programs are in program_queries."""
 
 from __future__ import annotations
 
@@ -212,12 +212,6 @@ def _(spark, sf):
     return out.select("p_partkey", "backwards", "es")
 
 
-@query("default_fill", "SELECT o_orderkey, CASE WHEN o_orderstatus='P' THEN 'pending' ELSE o_orderstatus END AS status FROM orders")
-def _(spark, sf):
-    given = load(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))
-    return given.select("o_orderkey", F.coalesce("status", F.lit("pending")).alias("status"))
-
-
 @query("replacement_overlay", "SELECT c_custkey, CASE WHEN c_custkey<10 THEN 'REPLACED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def _(spark, sf):
     changes = spark.range(10).select(F.col("id").alias("c_custkey"), F.lit("REPLACED").alias("c_mktsegment"))
@@ -230,18 +224,6 @@ def _(spark, sf):
     return keys.unused(changes, load(spark, sf, "customer").select(F.col("c_custkey").alias("k")), ["k"])
 
 
-@query("nested_flatten", "SELECT n_nationkey,s_suppkey FROM nation JOIN supplier ON s_nationkey=n_nationkey")
-def _(spark, sf):
-    nested = load(spark, sf, "supplier").groupBy("s_nationkey").agg(F.collect_list("s_suppkey").alias("suppliers"))
-    nested = load(spark, sf, "nation").join(nested, F.col("n_nationkey") == F.col("s_nationkey"))
-    return nested.select("n_nationkey", F.explode("suppliers").alias("s_suppkey"))
-
-
-@query("bag_union_segments", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
-def _(spark, sf):
-    return load(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).unionAll(load(spark, sf, "region").select("r_regionkey"))
-
-
 @query("program_checked", "SELECT c_custkey, c_mktsegment, CAST(n_regionkey AS BIGINT) AS region FROM customer JOIN nation ON n_nationkey=c_nationkey")
 def _(spark, sf):
     """A whole program over bound tables: hierarchy, references, checks, a view, proofs."""
@@ -268,11 +250,6 @@ def _(spark, sf):
     return statement(spark, sf, "SELECT o_orderkey AS pkey, o_custkey AS ref_key FROM orders", "orders")
 
 
-@query("matview_bool_arith", "SELECT p_partkey*CAST(p_size%2=0 AS BIGINT) AS maybe_id FROM part")
-def _(spark, sf):
-    return statement(spark, sf, "SELECT p_partkey * is_even AS maybe_id FROM (SELECT p_partkey, p_size % 2 = 0 AS is_even FROM part)", "part")
-
-
 @query("matview_string_sorted", "SELECT CAST(p_size AS BIGINT) AS p_size, row_number() OVER (ORDER BY CAST(p_size AS VARCHAR))-1 AS rid FROM (SELECT DISTINCT p_size FROM part)")
 def _(spark, sf):
     catalog = Catalog(parse("MATERIALIZED VIEW sizes { p_size INT } AS { SELECT DISTINCT p_size FROM part }"))
@@ -335,6 +312,29 @@ sql_query("sql_affinity", "customer", "SELECT c_custkey FROM customer WHERE c_na
 sql_query("sql_named_window", "orders", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, ntile(4) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 sql_query("sql_values", "nation", "SELECT column1 AS a, column2 AS b FROM (VALUES (1, 'x'), (2, 'y'))", "SELECT CAST(a AS BIGINT) AS a, b FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, b)")
 
+sql_query("sql_union_all", "nation region", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
+sql_query("sql_union", "supplier customer", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer", "SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier UNION SELECT c_nationkey FROM customer")
+sql_query("sql_compound_order", "supplier customer", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer ORDER BY k DESC LIMIT 5", "SELECT CAST(s_nationkey AS BIGINT) AS k FROM supplier UNION SELECT c_nationkey FROM customer ORDER BY k DESC LIMIT 5")
+sql_query("sql_cte", "orders customer", "WITH counts AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), top(k) AS (SELECT k FROM counts WHERE n > 12) SELECT c_custkey, c_name FROM customer JOIN top ON k = c_custkey")
+sql_query("sql_weak_numbers", "part", "SELECT p_partkey, CAST(p_size || 'abc' AS INTEGER) AS whole, CAST(p_size || '.5kg' AS REAL) AS part FROM part", "SELECT p_partkey, CAST(p_size AS BIGINT) AS whole, CAST(p_size + 0.5 AS DOUBLE) AS part FROM part")
+sql_query("sql_quoted_names", "part", 'SELECT "p_partkey" AS "the key" FROM "part" WHERE "p_size" = 7')
+sql_query(
+    "sql_bits", "part", "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, p_size << 2 AS l, p_partkey >> 1 AS r, ~p_size AS c, p_size % 7 AS m FROM part WHERE p_size BETWEEN 5 AND 30 AND p_size NOT IN (7, 9)",
+    "SELECT p_partkey, p_partkey & 12 AS a, p_partkey | 3 AS o, CAST(p_size AS BIGINT) << 2 AS l, p_partkey >> 1 AS r, ~CAST(p_size AS BIGINT) AS c, CAST(p_size % 7 AS BIGINT) AS m FROM part WHERE p_size BETWEEN 5 AND 30 AND p_size NOT IN (7, 9)",
+)
+sql_query("sql_real_literals", "part", "SELECT p_partkey, 3.0 / 2 AS x, p_size * 1.5 AS y, 7 / 2 AS z FROM part", "SELECT p_partkey, CAST(1.5 AS DOUBLE) AS x, CAST(p_size * 1.5 AS DOUBLE) AS y, CAST(3 AS BIGINT) AS z FROM part")
+sql_query(
+    "sql_math_funcs", "part", "SELECT p_partkey, abs(p_size - 25) AS a, round(p_retailprice) AS r, max(p_size, 10) AS hi, min(p_size, 10) AS lo FROM part",
+    "SELECT p_partkey, CAST(abs(p_size - 25) AS BIGINT) AS a, round(p_retailprice) AS r, CAST(greatest(p_size, 10) AS BIGINT) AS hi, CAST(least(p_size, 10) AS BIGINT) AS lo FROM part",
+)
+sql_query("sql_typeof", "part", "SELECT p_partkey, typeof(p_size) AS a, typeof(p_name) AS b, typeof(p_retailprice) AS c, typeof(p_size / 2.0) AS d FROM part", "SELECT p_partkey, 'integer' AS a, 'text' AS b, 'real' AS c, 'real' AS d FROM part")
+sql_query("sql_json_each", "events", "SELECT event_id, j.key AS name, CAST(j.value AS INTEGER) AS v FROM events, json_each(props) AS j", "SELECT event_id, 'k' AS name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events")
+sql_query("sql_dates", "region", "SELECT r_regionkey, date('2020-02-28', '+2 days') AS d, strftime('%Y-%m', '2021-07-04') AS m FROM region", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, '2020-03-01' AS d, '2021-07' AS m FROM region")
+sql_query("sql_row_values", "orders customer", "SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderpriority) IN (SELECT c_custkey, '1-URGENT' FROM customer WHERE c_acctbal < 0)", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND c_acctbal < 0")
+sql_query("sql_right_join", "supplier nation", "SELECT s_suppkey, n_nationkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey", "SELECT s_suppkey, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
+sql_query("sql_join_using", "nation", "SELECT n_nationkey, x FROM nation JOIN (SELECT n_nationkey, n_regionkey + 100 AS x FROM nation) USING (n_nationkey)", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey + 100 AS BIGINT) AS x FROM nation")
+sql_query("sql_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5 OFFSET 3")
+
 # Datalog
 
 rule_query("dl_projection", {"orders": ("orders", ["o_orderkey", "o_custkey"])}, "answer(X) :- orders(_, X).", "answer", ["x"], "SELECT DISTINCT o_custkey AS x FROM orders")

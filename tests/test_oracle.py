@@ -3,7 +3,9 @@
 import pytest
 from compare import of_duckdb, of_spark
 
-from proofmill.queries import ORACLE_SQL, QUERIES
+from proofmill import program_queries, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | program_queries.QUERIES, queries.ORACLE_SQL | program_queries.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
