@@ -22,6 +22,10 @@ from .util import clean_names, fresh, table, text_bytes, text_slices
 SIZE = 4096
 #: Rows of each language that are learned from, at most.
 ROWS_PER_LANGUAGE = 500
+#: Languages that are learned, at most (those with most rows), and rows over all of them: what the driver holds is bounded, however many values `lang` has.
+LANGUAGES, ROWS = 400, 20_000
+#: Parts of the rows, each left out once, for the weights of the bits.
+FOLDS = 2
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -73,14 +77,26 @@ def codewords(n: int) -> np.ndarray:
 
 
 class Codes:
+    """Linear bits and, for each language, weights of the bits: how often they are right on its rows while a part that holds the row is left out."""
+
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray):
         self.languages, self.code = languages, codewords(len(languages))
         self.scale = 8.0
-        self.w, self.b = fit(x * self.scale, (self.code[y] > 0).astype(np.float32), l2=3e-4, rounds=200)
-        right = np.sign(self.margins(x)) == self.code[y]
+        fold = np.zeros(len(y), np.int64)
+        for k in range(len(languages)):
+            fold[y == k] = np.arange((y == k).sum()) % FOLDS
+        right = np.zeros((len(y), self.code.shape[1]), bool)
+        for f in range(FOLDS):
+            if (fold != f).any():
+                self._fit(x[fold != f], y[fold != f])
+                right[fold == f] = np.sign(self.margins(x[fold == f])) == self.code[y[fold == f]]
+        self._fit(x, y)
         self.weight = np.stack([right[y == k].mean(0) for k in range(len(languages))])
         self.weight = (self.weight + 1e-3) / (self.weight + 1e-3).sum(1, keepdims=True)
 
+    def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.w, self.b = fit(x * self.scale, (self.code[y] > 0).astype(np.float32), l2=3e-4, rounds=200)
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         return (x * self.scale) @ self.w + self.b
 
@@ -90,10 +106,11 @@ class Codes:
 
 
 def learn(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, modulus: int = 4, remainder: int = 2) -> Codes | None:
-    """Codes from at most `rows` texts of each language, chosen by a hash of their ids; None without a labelled text."""
+    """Codes from at most `rows` texts of each of the LANGUAGES commonest languages, and about ROWS over all, chosen by a hash of their ids; None without a labelled text."""
     base = clean_names(docs, ["doc_id", "text", "lang"]).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     base = base.where(~held_out(F.col("doc_id"), modulus, remainder))
-    counts = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    counts = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    rows = min(rows, max(20, ROWS // max(1, len(counts))))
     if not counts:
         return None
     spark = docs.sparkSession

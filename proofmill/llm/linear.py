@@ -9,8 +9,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features, targets) and biases, from rows x and targets y of 0 and 1."""
+def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 300, still: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features, targets) and biases, from rows x and targets y of 0 and 1. Ends after `rounds`, or once a round moves no weight by more than `still` of the largest."""
     n, d = x.shape
     y = y.reshape(n, -1).astype(np.float32)
     v = np.ones(d, np.float32) / np.sqrt(max(d, 1))
@@ -30,4 +30,6 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 300) -> tu
         pw, pb, t = w, b, nt
         w = (qw - step * (x.T @ e / n + l2 * qw)).astype(np.float32)
         b = (qb - step * e.mean(0)).astype(np.float32)
+        if np.abs(w - pw).max(initial=0) <= still * np.abs(w).max(initial=0):
+            break
     return w, b

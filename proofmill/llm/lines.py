@@ -18,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, one_array, within
 from .util import Scratch, clean_names, fresh, table
 
 #: Counts in the sketch.
 SKETCH = 1 << 17
-#: Words of 64 bits in a bitmap.
-MAP = 1 << 17
 #: A token that is in the prefixes of so many lines is common.
 COMMON = 512
 PERCENT = 80
@@ -42,19 +41,11 @@ def _plain(text: Column) -> Column:
     return out
 
 
-def _whole(cells: DataFrame, size: int, value: str) -> DataFrame:
-    """One row with one array of `size` values: those of cells (at, and value as a bigint) in their places, 0 elsewhere."""
-    spark = cells.sparkSession
-    empty = spark.range(size).select(F.col("id").alias("at"), F.lit(0).cast("long").alias(value))
-    full = cells.select(F.col("at").cast("long").alias("at"), value).unionAll(empty).groupBy("at").agg(F.max(value).alias(value) if value == "n" else F.bit_or(value).alias(value))
-    return full.agg(F.sort_array(F.collect_list(F.struct("at", value))).alias("cells")).select(F.col(f"cells.{value}").alias(value))
-
-
 def _sketch(docs: DataFrame) -> DataFrame:
     """One row: for each of SKETCH hash values, how many words of the texts fall on it, 43 bits up. Its size is fixed."""
     found = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = found.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("at")).agg(F.count("*").alias("n"))
-    return _whole(counts.select("at", F.shiftleft(F.least("n", F.lit((1 << 20) - 1)), 43).alias("n")), SKETCH, "n")
+    return one_array(counts.select("at", F.shiftleft(F.least("n", F.lit((1 << 20) - 1)), 43).alias("n")), SKETCH, "n")
 
 
 def _parity(tokens: Column, half: int) -> Column:
@@ -67,19 +58,6 @@ def _parity(tokens: Column, half: int) -> Column:
     return F.aggregate(own, F.lit(0).cast("long"), flip)
 
 
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """One row with an array of MAP longs in which a bit is set for each key."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
-    cells = keys.groupBy(F.shiftright("key", 6).bitwiseAND(F.lit(MAP - 1)).alias("at")).agg(F.bit_or(bit).alias("bits"))
-    return _whole(cells, MAP, "bits")
-
-
-def _in(bits: Column, key: Column) -> Column:
-    """Whether a bitmap may hold a key."""
-    word = F.get(bits, F.shiftright(key, 6).bitwiseAND(F.lit(MAP - 1)).cast("int"))
-    return F.call_function("shiftright", word, key.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, mark and the array `later` of the line numbers that go, for documents that lose lines.
 
@@ -115,8 +93,8 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None
     shortest = c("n") - _needed(c("n"), c("n"), percent) + 1
     held = sets.select(shortest.alias("own"), F.posexplode("prefix").alias("i", "key")).groupBy("key").agg(F.count("*").alias("lines"), F.max(F.when(c("i") < c("own"), 1).otherwise(0)).alias("indexed"))
     held = scratch.stage(held.where("lines > 1 and indexed = 1").select("key", "lines"), "held")
-    shared = scratch.stage(_bitmap(held), "shared", tidy=False).scalar()
-    common = scratch.stage(_bitmap(held.where(c("lines") >= COMMON)), "common", tidy=False).scalar()
+    shared = scratch.stage(bitmap(held), "shared", tidy=False).scalar()
+    common = scratch.stage(bitmap(held.where(c("lines") >= COMMON)), "common", tidy=False).scalar()
     scratch.drop("held")
 
     need = _needed(c("n"), c("pn"), percent)
@@ -127,7 +105,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None
 
     # leaders: each line with a common token against the earliest of its groups
     hashes = F.explode(F.array(F.transform("prefix", lambda t: t.bitwiseAND(F.lit((1 << 43) - 1))))).alias("hs")
-    dense = sets.select("id", "at", "n", "b0", "b1", "prefix", common.alias("common")).where(F.exists("prefix", lambda t: _in(c("common"), t)))
+    dense = sets.select("id", "at", "n", "b0", "b1", "prefix", common.alias("common")).where(F.exists("prefix", lambda t: within(c("common"), t)))
     dense = scratch.stage(dense.select("id", "at", "n", "b0", "b1", hashes).select("id", "at", "n", "b0", "b1", F.array_min("hs").alias("low"), F.array_max("hs").alias("high")), "dense", tidy=False)
     group = F.explode(F.array(F.xxhash64("low", "high"), F.xxhash64("n", "low"), F.xxhash64("n", "high"))).alias("g")
     grouped = dense.select("id", "at", "n", "b0", "b1", group)
@@ -139,13 +117,13 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None
     # an open line is indexed for open and for closed ones, a closed line for open ones alone
     flagged = sets.select("id", "n", "b0", "b1", "prefix").join(closed.select("id", F.lit(1).alias("shut")), "id", "left").withColumn("shut", F.coalesce("shut", F.lit(0)))
     flagged = scratch.stage(flagged, "flagged")
-    met = scratch.stage(_bitmap(flagged.where("shut = 1").select(F.explode("prefix").alias("key"))), "met", tidy=False).scalar()
+    met = scratch.stage(bitmap(flagged.where("shut = 1").select(F.explode("prefix").alias("key"))), "met", tidy=False).scalar()
     near = ((c("n") < c("pn")) | ((c("n") == c("pn")) & (c("id") < c("pid")))) & may & (F.least(c("pn") - c("pi"), c("n") - c("i")) >= need)
-    index = flagged.select("id", "n", "b0", "b1", "shut", F.posexplode(F.slice("prefix", F.lit(1), shortest)).alias("i", "key"), shared.alias("shared"), met.alias("met")).where(_in(c("shared"), c("key")))
+    index = flagged.select("id", "n", "b0", "b1", "shut", F.posexplode(F.slice("prefix", F.lit(1), shortest)).alias("i", "key"), shared.alias("shared"), met.alias("met")).where(within(c("shared"), c("key")))
     for_open, for_shut = F.xxhash64("key", F.lit(0)), F.xxhash64("key", F.lit(1))
-    twice = (c("shut") == 0) & _in(c("met"), c("key"))  # a closed line may have the token
+    twice = (c("shut") == 0) & within(c("met"), c("key"))  # a closed line may have the token
     index = index.select("id", "n", "b0", "b1", "i", F.explode(F.when(twice, F.array(for_open, for_shut)).otherwise(F.array(for_open))).alias("key"))
-    probe = flagged.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), "shut", F.posexplode("prefix").alias("pi", "key"), shared.alias("shared")).where(_in(c("shared"), c("key")))
+    probe = flagged.select(c("id").alias("pid"), c("n").alias("pn"), c("b0").alias("p0"), c("b1").alias("p1"), "shut", F.posexplode("prefix").alias("pi", "key"), shared.alias("shared")).where(within(c("shared"), c("key")))
     probe = probe.select("pid", "pn", "p0", "p1", "pi", F.xxhash64("key", "shut").alias("key"))
     pairs = scratch.stage(probe.join(index, "key").where(near).select("id", "pid").distinct(), "pairs")
     unlike_first = _confirmed(texts, sets, pairs, percent, scratch, "words").select(F.greatest("at", "pat").alias("at")).distinct()
@@ -166,8 +144,8 @@ def _confirmed(texts: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int
     # only texts that may be wanted are shuffled
     place = lambda d, m: F.xxhash64(d, m)
     wanted = scratch.stage(wanted, f"{name}_places", tidy=False)
-    docs_ = scratch.stage(_bitmap(wanted.select(place("wanted_doc", "wanted_mark").alias("key"))), f"{name}_docs", tidy=False).scalar()
-    source = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text", docs_.alias("map")).where(_in(c("map"), place("doc_id", "mark"))).drop("map")
+    docs_ = scratch.stage(bitmap(wanted.select(place("wanted_doc", "wanted_mark").alias("key"))), f"{name}_docs", tidy=False).scalar()
+    source = texts.select("doc_id", F.xxhash64("text").alias("mark"), "text", docs_.alias("map")).where(within(c("map"), place("doc_id", "mark"))).drop("map")
     split = source.join(wanted, c("doc_id").eqNullSafe(c("wanted_doc")) & (c("mark") == c("wanted_mark"))).select(F.split(_plain(c("text")), "\n").alias("ls"), "wanted")
     split = split.select(F.inline(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["at"].alias("at"), F.element_at("ls", w["at"]["line_no"] + 1).alias("line")))))
     held = split.select("id", "at", F.array_remove(F.array_distinct(F.split("line", " ")), "").alias("ws")).dropDuplicates(["id"])  # rows that repeat a document

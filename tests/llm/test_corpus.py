@@ -265,6 +265,25 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
     assert cut[3] == texts[3].replace(" ".join(shared), "") and cut[2] == texts[2]
 
 
+def test_every_exact_passage_is_found(spark):
+    """Passages of 51 to 90 words whose parts also stand elsewhere, against all runs of all texts."""
+    draw = random.Random(21)
+    shared = [prose(draw.randint(51, 90), draw).split(" ") for _ in range(12)]
+    texts = []
+    for k in range(60):
+        ws = draw.choice(shared)
+        if k % 3 == 0:  # a part under 50 words
+            low = draw.randrange(len(ws) - 35)
+            ws = ws[low : low + 35]
+        texts.append(f"{prose(draw.randint(30, 60), draw)} {' '.join(ws)} {prose(draw.randint(30, 60), draw)}")
+    pairs = brute.run_lengths(texts, 50)
+    later = {b for b, _ in pairs}
+    found = passages.repeated(frame(spark, texts)).collect()
+    assert {r["doc_id"] for r in found} >= later and len(later) > 20
+    near_ = brute.run_lengths(texts, 30)
+    assert {(r["doc_id"], r["source_id"]) for r in found} <= near_
+
+
 # fingerprints
 
 
@@ -284,6 +303,19 @@ def test_fingerprints(spark, copies):
     assert np.mean([rows[d]["near_edited"] for d in long_]) > np.mean([rows[d]["near_next"] for d in long_]) + 0.1
 
 
+def test_fingerprint_bits(spark, copies):
+    rows = {r["doc_id"]: r for r in simhash.fingerprint_documents(frame(spark, copies)).collect()}
+    prints = {d: brute.fingerprint(t) for d, t in enumerate(copies)}
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    for d, text in enumerate(copies):
+        text, ahead = text or "", copies[(d + 1) % len(copies)] or ""
+        edited = brute.fingerprint(text[: len(text) - len(text) // 4] + ahead[: len(text) // 4])
+        r = rows[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (prints[d], edited)
+        assert (r["near_edited"], r["near_next"]) == (1 - apart(prints[d], edited) / 128, 1 - apart(prints[d], prints[(d + 1) % len(copies)]) / 128)
+        assert r["n_within"] == (sum(apart(prints[d], p) <= 3 for p in prints.values()) if d % 50 == 0 else None)
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     draw = random.Random(9)
     start = [draw.getrandbits(128) for _ in range(6)]
@@ -303,6 +335,22 @@ def test_language_of_held_out_texts(spark):
     assert rows and sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)
 
 
+def test_decoding(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs)
+    texts = [r["text"] for r in docs.where("text is not null").limit(40).collect()]
+    raw = [t.encode() for t in texts]
+    x = language.vectors(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    losses = model.losses(x)
+    for m, got in zip(model.margins(x), losses):
+        best, expected = brute.decode(m.tolist(), model.code.tolist(), model.weight.tolist())
+        assert np.allclose(got, expected, atol=1e-4) and got.argmin() == best
+
+
+def test_many_languages_are_bounded():
+    assert language.LANGUAGES * max(20, language.ROWS // language.LANGUAGES) * language.SIZE * 2 <= 200e6
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 9):
         c = language.codewords(n)
@@ -317,6 +365,26 @@ def test_quality_of_held_out_texts(spark):
     assert auc > 0.9
 
 
+def test_discriminant(spark):
+    draw = np.random.default_rng(4)
+    rows = [(draw.normal(k, 1 + k, quality.D), k) for k in (0, 1) for _ in range(60)]
+    sums = {}
+    for x, k in rows:
+        one = np.append(1, x)
+        sums[k] = sums.get(k, 0) + np.outer(one, one)
+    model = quality.Discriminant({k: (s[0, 0], s[0, 1:], s[1:, 1:]) for k, s in sums.items()})
+    plain = brute.discriminant(rows)
+    assert np.allclose(model.difference(np.array([x for x, _ in rows])), [plain(x) for x, _ in rows])
+
+
+def test_chain_on_rows_that_it_has_not_seen(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    known = labels.where("doc_id % 4 <> 1").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    rows = toxicity.classify(docs, known).withColumnRenamed("toxic", "said").join(labels.where("doc_id % 4 = 1"), "doc_id").collect()
+    toxic = [r["said"] for r in rows if r["toxic"] == 1]
+    assert np.mean([r["said"] == r["toxic"] for r in rows]) > 0.93 and toxic and np.mean(toxic) > 0.6
+
+
 def test_toxic_texts(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = toxicity.classify(docs, labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")).withColumnRenamed("toxic", "said").join(labels, "doc_id").collect()
@@ -342,6 +410,34 @@ def test_archives_round_trip(spark, tmp_path):
     assert sum(not r["whole"] for r in damaged) >= 1 and sum(r["whole"] for r in damaged) >= 8
 
 
+def test_archives_are_audited_against_their_layout(spark, tmp_path):
+    """What is read back from written archives has the manifest of their layout; a changed byte is found, and equal subtrees are not read."""
+    from proofmill.llm.util import Scratch
+
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k} {'y' * 900}</p>") for k in range(400)], "page_id bigint, url string, html string")
+    scratch = Scratch(spark)
+    fixity.write_archives(pages, f"{tmp_path}/w", 100)
+    keys = ["archive", "offset", "length", "digest"]
+    left = scratch.stage(fixity.layout(pages, scratch, "plan", 100).select(*keys), "plan_rows")
+    read = fixity.manifest_of(fixity.read_archives(spark, f"{tmp_path}/w"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, left.collect()))
+    file = next((tmp_path / "w" / "archive=2").glob("part-*"))
+    data = bytearray(file.read_bytes())
+    at = data.find(b"<p>250 ") + 20
+    data[at] ^= 1
+    file.write_bytes(bytes(data))
+    for crc in (tmp_path / "w").rglob(".*.crc"):
+        crc.unlink()
+    right = scratch.stage(fixity.manifest_of(fixity.read_archives(spark, f"{tmp_path}/w")), "read_rows")
+    found = fixity.audit(left, right, scratch).collect()
+    assert [(r["archive"], r["kind"]) for r in found] == [(2, "changed")] and found[0]["offset"] <= at < found[0]["offset"] + found[0]["length"]
+    shape = fixity.shape_of(left, right)
+    a, b = fixity.tree(left, shape, scratch, "a"), fixity.tree(right, shape, scratch, "b")
+    _, seen = fixity.descend(a, b, shape, scratch)
+    assert len(seen) == len(shape) + 1 and seen[0] == 1 and seen[-1] < 100 and sum(seen) < 0.4 * left.count()
+    assert fixity.descend(a, a, shape, scratch)[1] == [1]  # nothing below equal roots
+
+
 def test_audit_finds_each_damage(spark):
     from proofmill.llm.util import Scratch
 
