@@ -281,7 +281,7 @@ def _(spark, sf):
     kept = load(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     db = build(spark, parse(text), inputs={"o": kept, "l": load(spark, sf, "lineitem")}, check=False)
     found: Validation = db.validation()
-    kinds = spark.createDataFrame([(k, c.kind) for k, c in enumerate(found.checks)], "check_no int, rule string")
+    kinds = spark.createDataFrame([(k, c.name) for k, c in enumerate(found.checks)], "check_no int, rule string")
     counts = found.offenders().groupBy("check_no").agg(F.count("*").alias("n"))
     return kinds.join(counts, "check_no", "left").groupBy("rule").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
