@@ -99,19 +99,25 @@ class Items:
         self.ids, self.texts = ids, texts
         self.k = [max(0, min(int(len(t) * rate), len(t) // SEED - 2)) for t in texts]
         self.whole = [i for i, t in enumerate(texts) if len(t) < 2 * SEED]  # too short for two seeds: found as they are
-        seeds, owner, offset = [], [], []
+        seeds, owner, offset, several = [], [], [], []
         for i, t in enumerate(texts):
-            if i in set(self.whole):
+            if len(t) < 2 * SEED:
                 continue
-            parts = self.k[i] + 2
+            parts, kept = self.k[i] + 2, {}
             for s in range(parts):
                 o = len(t) * s // parts
+                # where an item repeats itself, segments of one text that stand close together count as one, which is enough for a window
+                if (last := kept.get(t[o : o + SEED])) is not None and o - offset[last] <= self.k[i] // 4:
+                    several[last] = True
+                    continue
+                kept[t[o : o + SEED]] = len(offset)
                 seeds.append(t[o : o + SEED])
                 owner.append(i)
                 offset.append(o)
+                several.append(False)
         code = mix(np.frombuffer(b"".join(seeds), "<u8").copy()) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.code, self.owner, self.offset = code[order], np.array(owner, np.int64)[order], np.array(offset, np.int64)[order]
+        self.code, self.owner, self.offset, self.several = code[order], np.array(owner, np.int64)[order], np.array(offset, np.int64)[order], np.array(several, bool)[order]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.code >> np.uint64(44)).astype(np.int64)] = True
         longest = max([len(t) + k for t, k in zip(texts, self.k, strict=True)], default=1)
@@ -199,28 +205,29 @@ def _windows(b: np.ndarray, at: np.ndarray, items: Items) -> list[tuple[int, int
     many = high - low
     pos = np.repeat(hit, many)
     which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    owner, offset = items.owner[which], items.offset[which]
+    owner, offset, several = items.owner[which], items.offset[which], items.several[which]
     doc = np.searchsorted(at, pos, side="right") - 1
     start = pos - offset
     order = np.lexsort((start, owner, doc))
-    doc, owner, offset, start = doc[order], owner[order], offset[order], start[order]
+    doc, owner, offset, start, several = doc[order], owner[order], offset[order], start[order], several[order]
     k = np.array(items.k)
     out: list[tuple[int, int, int]] = []
     near = np.zeros(len(doc), bool)
     near[1:] = (doc[1:] == doc[:-1]) & (owner[1:] == owner[:-1]) & (start[1:] - start[:-1] <= k[owner[1:]])
     edges = np.append(np.flatnonzero(~near), len(doc))
     sizes = np.diff(edges)
-    for low_, high_ in zip(edges[:-1][sizes > 1].tolist(), edges[1:][sizes > 1].tolist(), strict=True):
-        if len(set(offset[low_:high_].tolist())) < 2:
+    told = np.add.reduceat(several, edges[:-1]) > 0 if len(doc) else np.zeros(0, bool)
+    some = (sizes > 1) | told
+    for low_, high_, alone in zip(edges[:-1][some].tolist(), edges[1:][some].tolist(), told[some].tolist(), strict=True):
+        if not alone and offset[low_:high_].min() == offset[low_:high_].max():
             continue
         # runs of close starts may be long in repetitive text: one window for each stretch of k
-        last = None
-        for r in range(low_, high_):
-            if last is None or start[r] - last > max(1, int(k[owner[r]])):
-                last = start[r]
-                stretch = slice(r, int(np.searchsorted(start[low_:high_], last + k[owner[r]], side="right")) + low_)
-                first = r + int(np.argmin(offset[stretch]))
-                out.append((int(doc[r]), int(owner[r]), int(start[first])))
+        own, reach, r = start[low_:high_], int(k[owner[low_]]), low_
+        while r < high_:
+            end = int(np.searchsorted(own, start[r] + reach, side="right")) + low_
+            first = r + int(np.argmin(offset[r:end]))
+            out.append((int(doc[r]), int(owner[r]), int(start[first])))
+            r = int(np.searchsorted(own, start[r] + max(1, reach), side="right")) + low_
     return out
 
 
@@ -252,11 +259,16 @@ def _found(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, recall: flo
                     low, high = int(at[d]), int(at[d + 1])
                     spots.append((max(low, s), min(high, s + len(items.texts[i]))))
                 ok = items.passes([b[x:y].tobytes() for x, y in spots], [i for _, i, _ in found])
+                exact: set[tuple[int, int]] = set()
                 for r in np.flatnonzero(ok).tolist():
                     d, i, s = found[r]
                     t, k = items.texts[i], items.k[i]
                     low, high = max(int(at[d]), s - 2 * k), min(int(at[d + 1]), s + len(t) + 2 * k)
+                    if high - low < len(t) - k or (int(ids[d]), items.ids[i]) in exact:
+                        continue
                     n, end = edits(t, part := b[low:high].tobytes())
+                    if not n:
+                        exact.add((int(ids[d]), items.ids[i]))
                     if n <= k:
                         back = edits(t[::-1], part[:end][::-1])[1]
                         out.append((int(ids[d]), items.ids[i], n, int(origin[low + end - back] - offsets[d]), int(origin[low + end - 1] + 1 - offsets[d])))
