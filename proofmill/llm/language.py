@@ -88,14 +88,14 @@ class Codes:
         right = np.zeros((len(y), self.code.shape[1]), bool)
         for f in range(FOLDS):
             if (fold != f).any():
-                self._fit(x[fold != f], y[fold != f])
+                self._fit(x[fold != f], y[fold != f], 60)
                 right[fold == f] = np.sign(self.margins(x[fold == f])) == self.code[y[fold == f]]
         self._fit(x, y)
         self.weight = np.stack([right[y == k].mean(0) for k in range(len(languages))])
         self.weight = (self.weight + 1e-3) / (self.weight + 1e-3).sum(1, keepdims=True)
 
-    def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.w, self.b = fit(x * self.scale, (self.code[y] > 0).astype(np.float32), l2=3e-4, rounds=200)
+    def _fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 200) -> None:
+        self.w, self.b = fit(x * self.scale, (self.code[y] > 0).astype(np.float32), l2=3e-4, rounds=rounds)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return (x * self.scale) @ self.w + self.b
