@@ -284,6 +284,32 @@ def test_every_exact_passage_is_found(spark):
     assert {(r["doc_id"], r["source_id"]) for r in found} <= near_
 
 
+def test_passages_that_no_first_or_last_document_holds(spark):
+    """The first and last documents of all seeds and runs hold 46 words of a passage of 52, or a third of one with changed words."""
+    draw = random.Random(31)
+    shared, fuzzy = prose(52, draw).split(" "), prose(90, draw).split(" ")
+    text = lambda ws: f"{prose(40, draw)} {' '.join(ws)} {prose(40, draw)}"
+    parts = [shared[:46], shared[6:], *(fuzzy[k : k + 30] for k in range(0, 70, 10))]
+    texts = [text(ws) for ws in parts]
+    whole = [text(shared), text(shared), text(fuzzy), text(altered(" ".join(fuzzy), 0.05, draw).split(" "))]
+    texts = [*texts, *whole, *(text(ws) for ws in parts)]
+    rows = passages.repeated(frame(spark, texts)).collect()
+    n = len(parts)
+    assert {(r["doc_id"], r["source_id"]) for r in rows} == {(n + 1, n), (n + 3, n + 2)}
+    assert {texts[r["doc_id"]][r["start_char"] : r["end_char"]] for r in rows if r["doc_id"] == n + 1} == {" ".join(shared)}
+
+
+def test_documents_that_share_no_more_than_two_seeds_all_meet(spark, monkeypatch):
+    """Many documents with one run of 30 words, of which pairs share more: blocks of few rows give the same as brute force."""
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    draw = random.Random(32)
+    common = prose(30, draw)
+    ends = [prose(30, draw) for _ in range(30)]
+    texts = [f"{prose(30, draw)} {common} {ends[k % 30] if 10 <= k < 70 else prose(30, draw)} {prose(30, draw)}" for k in range(80)]
+    rows = passages.repeated(frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in rows} == {(k + 30, k) for k in range(10, 40)}
+
+
 # fingerprints
 
 
