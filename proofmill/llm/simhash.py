@@ -6,6 +6,8 @@ Everything is DataFrame expressions. A term is a word with the word before it; i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from .util import Scratch, clean_names, partitions, table, words
 
 BITS = 128
+#: Turns in which documents meet their next ones.
+TURNS = 4
 #: Both halves of a long count: bit i in the low half, bit i + 32 in the high half.
 _PAIR = 0x100000001
 
@@ -110,11 +114,26 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     known = base.where(F.col("doc_id").isNotNull())
     ids = known.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).alias("need"))
     ahead = scratch.stage(next_ids(spark, ids, scratch), "ahead")
-    heads = known.join(ahead.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "need"), "doc_id").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, cast(need as int))").alias("head"))
-    heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
-    both = known.join(heads, "doc_id", "left").unionByName(base.where(F.col("doc_id").isNull()).withColumn("head", F.lit(None).cast("string")))
-    # rows are numbered once and written: a task that ran again could number them otherwise, and the votes of two documents would be mixed
-    both = scratch.stage(both.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "head"), "rows")
+    before = ahead.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "need")
+
+    def dealt(df: DataFrame, k: int) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)) == k)
+
+    # texts are joined in turns, so that the shuffle files of one turn only lie beside what is staged; by merging at any size, as heads grow with the corpus
+    heads = []
+    for k in range(TURNS):
+        found = dealt(known, k).hint("merge").join(dealt(before, k), "doc_id").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, cast(need as int))").alias("head"))
+        heads.append(scratch.stage(found, f"heads{k}"))
+    heads = reduce(DataFrame.union, heads)
+    rows = []
+    for k in range(TURNS):
+        both = dealt(known, k).hint("merge").join(dealt(heads, k).groupBy("doc_id").agg(F.min("head").alias("head")), "doc_id", "left")
+        if not k:
+            both = both.unionByName(base.where(F.col("doc_id").isNull()).withColumn("head", F.lit(None).cast("string")))
+        # rows are numbered once and written: a task that ran again could number them otherwise, and the votes of two documents would be mixed
+        rows.append(scratch.stage(both.select((F.monotonically_increasing_id() * TURNS + k).alias("row"), "doc_id", "text", "head"), f"rows{k}"))
+    scratch.drop(*[f"heads{k}" for k in range(TURNS)])
+    both = reduce(DataFrame.union, rows)
     n = F.length("text")
     both = both.select("row", "doc_id", n.cast("long").alias("n_chars"), "text", F.expr("concat(substring(text, 1, cast(length(text) - length(text) div 4 as int)), coalesce(substring(head, 1, cast(length(text) div 4 as int)), ''))").alias("edited"))
     kinds = both.select("row", "doc_id", "n_chars", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))))
@@ -122,7 +141,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     pick = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     fps = fps.groupBy("row", "doc_id", "n_chars").agg(pick("sha", 1).alias("edited_sha256"), pick("f0", 0).alias("f0"), pick("f1", 0).alias("f1"), pick("f0", 1).alias("e0"), pick("f1", 1).alias("e1"))
     fps = scratch.stage(fps.drop("row"), "fingerprints")
-    scratch.drop("rows", "ranges")
+    scratch.drop("ranges", *[f"rows{k}" for k in range(TURNS)])
     nexts = fps.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by(F.struct("f0", "f1"), F.struct("f0", "f1")).alias("n"))
     nexts = ahead.select("doc_id", "next_id").join(nexts, "next_id").select("doc_id", F.col("n.f0").alias("n0"), F.col("n.f1").alias("n1"))
     queries = fps.where(F.col("doc_id") % 50 == 0)

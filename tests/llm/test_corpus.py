@@ -342,6 +342,25 @@ def test_fingerprint_bits(spark, copies):
         assert r["n_within"] == (sum(apart(prints[d], p) <= 3 for p in prints.values()) if d % 50 == 0 else None)
 
 
+def test_fingerprints_never_stage_all_texts_at_once(spark, monkeypatch):
+    """Shuffle files lie beside a table while it is written: none holds the texts of half the rows; all have their own number."""
+    seen, stage = [], simhash.Scratch.stage
+
+    def watch(self, df, name, tidy=True):
+        out = stage(self, df, name, tidy)
+        if {"text", "head"} & set(out.columns):
+            seen.append((name, out.count(), [r["row"] for r in out.select("row").collect()] if "row" in out.columns else []))
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "stage", watch)
+    texts = [prose(20) for _ in range(400)]
+    df = frame(spark, texts).union(frame(spark, [None, "a b", "a b"], 7)).union(frame(spark, ["c d", "e f"]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert simhash.fingerprint_documents(df).count() == 405
+    numbers = [n for _, _, own in seen for n in own]
+    assert len(numbers) == len(set(numbers)) == 405
+    assert max(n for _, n, _ in seen) < 405 / 2
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     draw = random.Random(9)
     start = [draw.getrandbits(128) for _ in range(6)]
