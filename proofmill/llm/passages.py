@@ -51,13 +51,17 @@ def chosen(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.concatenate([at[:-1] - 1, np.maximum(at[:-1], at[1:] - K + 1)])  # before the first run of each text, and behind its last one
     edges = np.sort(np.concatenate([low, ends]), kind="stable")
     wide = np.flatnonzero(np.diff(edges) > WINDOW)
-    more = [low]
-    for k in wide.tolist():
-        begin, end = int(edges[k]) + 1, int(edges[k + 1])
-        if whole[begin:end].all():
-            view = np.lib.stride_tricks.sliding_window_view(r[begin:end], WINDOW)
-            more.append(begin + np.arange(len(view)) + view.argmin(1))
-    places = np.unique(np.concatenate(more))
+    begin, end = edges[wide] + 1, edges[wide + 1]
+    broken = np.concatenate([[0], np.cumsum(~whole)])
+    inside = broken[begin] == broken[end]
+    begin, n_windows = begin[inside], (end - begin)[inside] - WINDOW + 1
+    starts = np.repeat(begin - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(n_windows.sum())
+    least, which = r[starts], starts.copy()
+    for j in range(1, WINDOW):
+        value = r[starts + j]
+        less = value < least
+        least[less], which[less] = value[less], starts[less] + j
+    places = np.unique(np.concatenate([low, which]))
     return places, r[places]
 
 
@@ -140,32 +144,32 @@ def chains(pa_: np.ndarray, pb: np.ndarray, cost: float = GAP_COST) -> list[tupl
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(pa_)) - 1
     a0, b0, a1, b1 = pa_[at], pb[at], pa_[last] + K, pb[last] + K
-    cover = (b1 - b0).astype(float)
     if len(at) == 1:
-        picked = [[0]]
-    else:
-        places = np.unique(np.concatenate([a0, a1 - K + 1]))
-        rank_start, rank_end = np.searchsorted(places, a0), np.searchsorted(places, a1 - K + 1)
-        tree = Fenwick(len(places))
-        score, back = cover.copy(), np.full(len(at), -1)
-        events = sorted([(int(b0[i]), 1, i) for i in range(len(at))] + [(int(b1[i] - K + 1), 0, i) for i in range(len(at))])
-        for _, opens, i in events:
-            if opens:
-                value, j = tree.upto(int(rank_start[i]) + 1)
-                gain = value - cost * float(a0[i] + b0[i])
-                if j >= 0 and gain > 0:
-                    score[i], back[i] = cover[i] + gain, j
-            else:
-                tree.put(int(rank_end[i]), (float(score[i] + cost * (a1[i] + b1[i])), i))
-        used, picked = np.zeros(len(at), bool), []
-        for i in np.argsort(-score, kind="stable").tolist():
-            chain = []
-            while i >= 0 and not used[i]:
-                used[i] = True
-                chain.append(i)
-                i = int(back[i])
-            if chain:
-                picked.append(chain[::-1])
+        return [(pa_, pb)]
+    places = np.unique(np.concatenate([a0, a1 - K + 1]))
+    rank_start, rank_end = np.searchsorted(places, a0).tolist(), np.searchsorted(places, a1 - K + 1).tolist()
+    events = np.lexsort((np.tile(np.arange(len(at)), 2), np.repeat([1, 0], len(at)), np.concatenate([b0, b1 - K + 1]))).tolist()
+    a0, b0, a1, b1 = a0.tolist(), b0.tolist(), a1.tolist(), b1.tolist()
+    tree = Fenwick(len(places))
+    score, back = [float(high - low) for low, high in zip(b0, b1, strict=True)], [-1] * len(at)
+    for i in events:
+        if i < len(at):
+            value, j = tree.upto(rank_start[i] + 1)
+            gain = value - cost * float(a0[i] + b0[i])
+            if j >= 0 and gain > 0:
+                score[i], back[i] = score[i] + gain, j
+        else:
+            i -= len(at)
+            tree.put(rank_end[i], (score[i] + cost * (a1[i] + b1[i]), i))
+    used, picked = [False] * len(at), []
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append(i)
+            i = back[i]
+        if chain:
+            picked.append(chain[::-1])
     out = []
     for chain in picked:
         part: list[int] = []
@@ -175,18 +179,24 @@ def chains(pa_: np.ndarray, pb: np.ndarray, cost: float = GAP_COST) -> list[tupl
                 part = []
             part.append(i)
         out.append(part)
+    at, last = at.tolist(), last.tolist()
     return [(np.concatenate([pa_[at[i] : last[i] + 1] for i in p]), np.concatenate([pb[at[i] : last[i] + 1] for i in p])) for p in out]
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short runs of words."""
+    """Length of the longest common subsequence of two short runs of words: a row of its table is one integer, whose bits are 0 where the length goes up."""
     if not len(x) or not len(y):
         return 0
-    row = np.zeros(len(y) + 1, np.int64)
-    for v in x:
-        up = np.concatenate([[0], np.where(y == v, row[:-1] + 1, row[1:])])
-        row = np.maximum.accumulate(up)
-    return int(row[-1])
+    places: dict[int, int] = {}
+    for j, v in enumerate(y.tolist()):
+        places[v] = places.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x.tolist():
+        if v in places:
+            up = row & places[v]
+            row = ((row + up) | (row - up)) & full
+    return len(y) - row.bit_count()
 
 
 def extend(x: np.ndarray, y: np.ndarray, drop: float = 8.0) -> tuple[int, int]:
@@ -418,8 +428,11 @@ def extents(x: np.ndarray, ys: np.ndarray, drop: float = 8.0) -> tuple[np.ndarra
     return np.where(some, at + 1, 0), np.where(some, hits[np.arange(len(ys)), at], 0)
 
 
-def meet(early: list[tuple], late: list[tuple], most: int, width: int, min_words: int, likeness: float) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """(b, a, matches in a, in b) of late rows (doc, pi, before, mid, behind, tried) with the `most` earliest of early rows (the same without tried, one for each context) that may share a passage around the two seeds."""
+def meet(early: list[tuple], late: list[tuple], most: int, width: int, min_words: int, likeness: float) -> Iterator[tuple[int, int | None, list[int], list[int]]]:
+    """(b, a, matches in a, in b) of late rows (doc, pi, before, mid, behind, tried) with the `most` earliest of early rows (the same without tried, one for each context) that may share a passage around the two seeds.
+
+    (b, None, [], []) follows where early rows are left that have not been looked at.
+    """
 
     def matrix(texts: list[bytes], fill: int) -> np.ndarray:
         out = np.full((len(texts), width), fill, np.uint32)
@@ -454,7 +467,10 @@ def meet(early: list[tuple], late: list[tuple], most: int, width: int, min_words
         for doc, pi, _, _, _, tried in sorted(rows, key=lambda r: r[:2]):
             left = most
             for k in may:
-                if docs[k] >= doc or not left:
+                if docs[k] >= doc:
+                    break
+                if not left:
+                    yield doc, None, [], []
                     break
                 if docs[k] in tried:
                     continue
@@ -469,7 +485,7 @@ def others(rest: DataFrame, out: DataFrame, base: DataFrame, scratch: Scratch, m
     """The passages out, and those with any other earlier document: of two seeds, of which one stands outside of passages found, all documents that have both meet.
 
     Documents with the same words around them are one class, by its first document. All classes of two seeds are compared, in blocks of about BLOCK; the first
-    one that may share a passage leaves, and is aligned. This goes on with sixteen times as many, without what has been tried or found, until nothing is left to try.
+    one that may share a passage leaves, and is aligned. This goes on with sixteen times as many, without what has been tried or found, for the rows that have classes left to look at, until nothing is left to try.
     """
     c, turn = F.col, 0
     far, wide, width = reaches(min_words, likeness)
@@ -510,7 +526,7 @@ def others(rest: DataFrame, out: DataFrame, base: DataFrame, scratch: Scratch, m
 
     def answer(now: tuple | None, early: list[tuple], late: list[tuple]) -> Iterator[pa.RecordBatch]:
         if early and late:
-            got = [(now[0], *v) for v in meet(early, late, 16**turn, width, min_words, likeness)]
+            got = [(None if v[1] is not None else now[0], *v) for v in meet(early, late, 16**turn, width, min_words, likeness)]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["two", "b", "a", "pa", "pb"])
 
@@ -520,7 +536,8 @@ def others(rest: DataFrame, out: DataFrame, base: DataFrame, scratch: Scratch, m
         cells = lambda df, own, other, own_n, other_n: df.join(n, "two").select("two", (c("deal") % c(own_n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), c(other_n) - 1)).alias(other), "late", "doc_id", "pi", *around, "tried")
         both = cells(classes.withColumn("late", F.lit(0)).withColumn("tried", F.lit(None).cast("array<long>")), "x", "y", "nx", "ny").unionByName(cells(asked.withColumn("late", F.lit(1)), "y", "x", "ny", "nx"))
         pairs = both.repartition("two", "x", "y").sortWithinPartitions("two", "x", "y").mapInArrow(run, "two long, b long, a long, pa array<int>, pb array<int>")
-        pairs = scratch.stage(pairs.drop("two").distinct(), f"pairs{turn}")
+        both = scratch.stage(pairs.distinct(), f"pairs{turn}")
+        pairs, more = both.where("two is null").drop("two"), both.where("two is not null").select("two", c("b").alias("doc_id")).distinct()
         if pairs.isEmpty():
             break
         matches = pairs.select("a", "b", F.inline(F.arrays_zip("pa", "pb"))).distinct()
@@ -530,7 +547,7 @@ def others(rest: DataFrame, out: DataFrame, base: DataFrame, scratch: Scratch, m
         seen = pairs.select("a", "b").distinct()
         tried = scratch.stage(seen if tried is None else tried.union(seen), f"tried{turn}", tidy=False)
         closed = again.select(c("doc_id").alias("s_id"), "first", "last").distinct()
-        late = scratch.stage(late.join(closed, (c("doc_id") == c("s_id")) & (c("pi") >= c("first")) & (c("pj") + K <= c("last")), "left_anti"), f"late{turn}")
+        late = scratch.stage(late.join(closed, (c("doc_id") == c("s_id")) & (c("pi") >= c("first")) & (c("pj") + K <= c("last")), "left_anti").join(more, ["two", "doc_id"], "left_semi").select(late.columns), f"late{turn}")
         turn += 1
     return out
 

@@ -310,6 +310,15 @@ def test_documents_that_share_no_more_than_two_seeds_all_meet(spark, monkeypatch
     assert {(r["doc_id"], r["source_id"]) for r in rows} == {(k + 30, k) for k in range(10, 40)}
 
 
+def test_rows_that_have_met_all_classes_are_not_asked_again():
+    mid = np.arange(2, 62, dtype=np.uint32).tobytes()
+    early = [(doc, 5, b"", mid, b"") for doc in (0, 1)]
+    asked = lambda doc, most: [(b, a) for b, a, _, _ in passages.meet(early, [(doc, 7, b"", mid, b"", set())], most, 33, 50, 0.8)]
+    assert asked(2, 1) == [(2, 0), (2, None)]
+    assert asked(2, 2) == [(2, 0), (2, 1)]
+    assert asked(1, 1) == [(1, 0)]
+
+
 # fingerprints
 
 
