@@ -1,4 +1,4 @@
-"""Datalog on DataFrames: each rule a join tree, each recursive component a semi-naive loop, components in order of their dependence.
+"""Datalog on DataFrames: each rule a join tree, each recursive component a semi-naive loop or doubled steps, components in order of their dependence.
 
 Relations are sets: rows are distinct. A relation's columns are named c0, c1, ...
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.rules import Atom, Constant, Literal, Rule, RuleError, RuleProgram, Term, Variable
 from ..sources.staging import Rounds
+from .fixpoint import single, unseen, walks
 
 _KINDS = {"string": "string", "bigint": "integer", "int": "integer", "smallint": "integer", "tinyint": "integer", "double": "float", "float": "float", "boolean": "boolean"}
 _DECLARED = {"string": "string", "integer": "bigint", "boolean": "boolean", "float": "double"}
@@ -77,6 +78,56 @@ def strata(rules: list[Rule]) -> list[list[str]]:
     return out
 
 
+@dataclass(frozen=True)
+class Chain:
+    """p(A, Z) :- p(A, Y), rest(Y, Z), with any number of terms in any order, where rest knows nothing of A: rows of p go from place to place."""
+
+    places: dict[int, tuple[str, str]]  # terms of p: the variables of rest that are there before the step and after it
+    rest: Rule
+    own: bool  # p starts with the steps themselves
+
+
+def _shape(literals: tuple[Literal, ...], first: list[str]) -> list[Literal]:
+    """The literals with variables by numbers: those of first, then others as they come."""
+    codes = {v: str(i) for i, v in enumerate(first)}
+
+    def term(t: Term | None) -> Term | None:
+        return Variable(codes.setdefault(t.name, str(len(codes)))) if isinstance(t, Variable) and t.name != "_" else t
+
+    return [Literal(Atom(x.atom.predicate, tuple(map(term, x.atom.terms))) if x.atom else None, x.negative, x.op, term(x.left), term(x.right)) for x in literals]
+
+
+def chain(name: str, rules: list[Rule], given: bool) -> Chain | None:
+    """What the recursion of a predicate is a chain of, if its only recursive rule is of that form. given: the predicate also has rows of its own."""
+    recursive = [r for r in rules if any(x.atom and x.atom.predicate == name for x in r.body)]
+    if len(recursive) != 1:
+        return None
+    rule = recursive[0]
+    at = next(i for i, x in enumerate(rule.body) if x.atom and x.atom.predicate == name)
+    before, after = rule.body[at].atom.terms, rule.head.terms
+    names = [[t.name for t in side if isinstance(t, Variable) and t.name != "_"] for side in (before, after)]
+    if any(len(set(x)) < len(after) for x in names) or len(before) != len(after):
+        return None
+    rest = Rule(rule.head, rule.body[:at] + rule.body[at + 1 :])
+    places = {i: (a, b) for i, (a, b) in enumerate(zip(*names, strict=True)) if a != b}
+    stay = {a for i, a in enumerate(names[0]) if i not in places}
+    froms, tos = [a for a, _ in places.values()], [b for _, b in places.values()]
+    used = {t.name for x in rest.body for t in (x.atom.terms if x.atom else (x.left, x.right)) if isinstance(t, Variable)}
+    if not places or set(froms) & set(tos) or stay & used or not {*froms, *tos} <= rest.variables():
+        return None
+    pair = len(after) == 2 and len(places) == 1
+    if any(x.atom and x.atom.predicate == name for x in rest.body):  # p(A, Z) :- p(A, Y), p(Y, Z): steps are what p starts with
+        placed = pair and [Variable(v) for v in (froms + tos if 1 in places else tos + froms)]
+        return Chain(places, rest, True) if placed and len(rest.body) == 1 and list(rest.body[0].atom.terms) == placed else None
+    starts = [r for r in rules if r is not rule]
+    own = False
+    if pair and not given and len(starts) == 1 and all(isinstance(t, Variable) for t in starts[0].head.terms):
+        (to,) = places
+        ends = [starts[0].head.terms[i].name for i in (1 - to, to)]
+        own = len(set(ends)) == 2 and _shape(starts[0].body, ends) == _shape(rest.body, froms + tos)
+    return Chain(places, rest, own)
+
+
 @dataclass
 class Evaluator:
     spark: SparkSession
@@ -219,6 +270,9 @@ class Evaluator:
             like[p] = self._union(seeds[p]).distinct()
             delta[p] = rounds.keep(like[p], f"{p}_0")
             names[p].append(f"{p}_0")
+        if len(group) == 1 and (found := self._chained(rounds, group[0], rules, delta[group[0]])) is not None:
+            self.relations[group[0]] = found
+            return
         for k in range(1, 1_000_000):
             known = {p: rounds.read(like[p], *names[p]) for p in group if names[p]}
             self.relations |= known
@@ -233,7 +287,7 @@ class Evaluator:
             for p, parts in found.items():
                 new = self._union(parts).distinct()
                 if p in known:
-                    new = new.join(known[p].alias("known"), [new[c].eqNullSafe(F.col(f"known.{c}")) for c in new.columns], "left_anti")  # new rows are distinct already
+                    new = unseen(new, known[p])  # new rows are distinct already
                 like.setdefault(p, new)
                 new = rounds.keep(new, f"{p}_{k}")
                 if not new.isEmpty():
@@ -243,6 +297,26 @@ class Evaluator:
                 return
             delta = fresh
 
+    def _chained(self, rounds: Rounds, name: str, rules: list[Rule], start: DataFrame) -> DataFrame | None:
+        """The predicate's rows, if they go from place to place in a single way."""
+        form = chain(name, rules, name in self.relations)
+        if form is None:
+            return None
+        places = {f"c{i}": (f"from{i}", f"next{i}") for i in form.places}
+        froms, tos = [a for a, _ in places.values()], [b for _, b in places.values()]
+        if form.own:
+            stays = next(c for c in start.columns if c not in places)
+            step = start.select(F.col(stays).alias(froms[0]), F.col(*places).alias(tos[0]))
+        else:
+            variables = [*(a for a, _ in form.places.values()), *(b for _, b in form.places.values())]
+            step = self.body(form.rest).select(*[F.col(v).alias(c) for v, c in zip(variables, froms + tos, strict=True)])
+        kinds, here = dict(step.dtypes), dict(start.dtypes)
+        if any({kinds[a], kinds[b]} != {here[c]} for c, (a, b) in places.items()):
+            return None
+        if not form.own:
+            step = rounds.keep(step.distinct(), f"{name}_steps_0")
+        return walks(rounds, f"{name}_0", start, step, places, form.own) if single(step, froms, tos) else None
+
     def query(self, atom: Atom) -> DataFrame:
         """The atom's variables, each once, in their order."""
         return self.matched(atom, self.relation(atom.predicate, len(atom.terms))).distinct()
